@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, packing, sharding, url_filters
+from graphloom.llm import mixing, packing, quality, repetition, sharding, url_filters
 
 QUERIES = {
+    "op1_bradley_terry": quality.op1_bradley_terry,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_suffix_repetition": repetition.op3_suffix_repetition,
     "op7_time_varying_mix": mixing.op7_time_varying_mix,
     "op9_temporal_url_list": url_filters.op9_temporal_url_list,
     "op10_virtual_slots": sharding.op10_virtual_slots,
