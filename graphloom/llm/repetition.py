@@ -124,7 +124,8 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
         flat = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
         return pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["n_tokens", "covered", "longest_repeat"])
 
-    return measured(text)
+    # not deterministic to the optimiser: else the filter on the result evaluates it a second time
+    return measured.asNondeterministic()(text)
 
 
 def judged(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
