@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, packing, quality, repetition, sharding, token_counts, url_filters
+from graphloom.llm import minhash, mixing, packing, quality, repetition, sharding, token_counts, url_filters
 
 QUERIES = {
     "op1_bradley_terry": quality.op1_bradley_terry,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_suffix_repetition": repetition.op3_suffix_repetition,
+    "op4_multi_index_minhash": minhash.op4_multi_index_minhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_time_varying_mix": mixing.op7_time_varying_mix,
     "op9_temporal_url_list": url_filters.op9_temporal_url_list,
