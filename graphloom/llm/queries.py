@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import minhash, mixing, packing, quality, repetition, sharding, token_counts, url_filters
+from graphloom.llm import line_dedup, minhash, mixing, packing, quality, repetition, sharding, token_counts, url_filters
 
 QUERIES = {
     "op1_bradley_terry": quality.op1_bradley_terry,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_multi_index_minhash": minhash.op4_multi_index_minhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_time_varying_mix": mixing.op7_time_varying_mix,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_temporal_url_list": url_filters.op9_temporal_url_list,
     "op10_virtual_slots": sharding.op10_virtual_slots,
 }
 
 ORACLE_SQL = {
     "op7_time_varying_mix": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
     "op9_temporal_url_list": url_filters.SQL,
     "op10_virtual_slots": sharding.SQL,
 }
