@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class _Frame:
+    """Holds a DataFrame, or a function that gives it: a query then opens only the tables that it touches."""
+
+    source: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
+
 @dataclass(frozen=True)
-class NodeFrame:
+class NodeFrame(_Frame):
     """``df`` has ``id`` and the properties. Where ``id`` is a key column plus an offset, both are named, so
     that a search by id becomes a search by key that the scan can use."""
 
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     key: str | None = None
     offset: int = 0
 
@@ -24,10 +35,10 @@ class NodeFrame:
 
 
 @dataclass(frozen=True)
-class EdgeFrame:
+class EdgeFrame(_Frame):
     """``df`` has ``eid``, ``src``, ``dst``, ``port`` and the properties; the labels are those of its ends, None for any."""
 
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     src_label: str | None = None
     dst_label: str | None = None
 
@@ -151,9 +162,9 @@ def demo_graph(spark: SparkSession) -> Graph:
     return Graph(spark, {"Person": NodeFrame(people), "Company": NodeFrame(company)}, {"": EdgeFrame(edges)})
 
 
-def keyed(df: DataFrame, key: str, offset: int) -> NodeFrame:
+def keyed(table: Callable[[], DataFrame], key: str, offset: int) -> NodeFrame:
     """A node frame whose id is a key column shifted into the label's own range."""
-    return NodeFrame(df.withColumn("id", F.col(key).cast("bigint") + F.lit(offset)), key, offset)
+    return NodeFrame(lambda: table().withColumn("id", F.col(key).cast("bigint") + F.lit(offset)), key, offset)
 
 
 def edges_of(df: DataFrame, eid: Column, src: Column, dst: Column, port: Column | None = None, props: list[str] | None = None) -> DataFrame:

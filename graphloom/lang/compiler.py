@@ -149,13 +149,16 @@ class Compiler:
             flip = {"out": "in", "in": "out", "both": "both"}
             if all(r.hops is None for r in rels):
                 nodes, rels = nodes[::-1], [replace(r, direction=flip[r.direction]) for r in rels[::-1]]
-        st = self.node(st, nodes[0], pending)
+        early = None if p.shortest or not rels else self.edge_first(st, nodes[0], rels[0], nodes[1], pending)
+        st = early or self.node(st, nodes[0], pending)
         trail = F.array(col(f"{st.scope[nodes[0].var].name}__id"))
         for k, r in enumerate(rels):
             source, target = nodes[k], nodes[k + 1]
             if p.shortest:
                 st, piece = self.shortest(st, source, r, target, pending)
                 trail = piece
+            elif early is not None and k == 0:
+                trail = F.concat(trail, F.array(col(f"{st.scope[target.var].name}__id")))
             elif r.hops is not None:
                 st, piece = self.hops(st, source, r, target, pending)
                 trail = F.concat(trail, F.slice(piece, 2, F.greatest(F.size(piece) - 1, F.lit(0))))
@@ -167,6 +170,21 @@ class Compiler:
             st = self.filters(st, pending)
         return st
 
+    def edge_first(self, st: State, source: ast.NodePattern, r: ast.RelPattern, target: ast.NodePattern, pending: list) -> State | None:
+        """Where nothing of the first node but its id is needed and its label follows from the edges, they are
+        the scan: its frame isn't read at all."""
+        if source.var in st.scope or target.var in st.scope or source.var == target.var or r.hops is not None or source.props or self.shards is not None or self.used.get(source.var, set()) - {"label"}:
+            return None
+        edges, props, near, far = self.edge_frame(r, self.labels_of(source.label), self.labels_of(target.label))
+        if near is None or len(near) != 1:
+            return None
+        e = edges.select(*[F.col(f"`{c}`").alias(f"{r.var}__{c}") for c in edges.columns])
+        e = e.withColumn(f"{source.var}__id", col(f"{r.var}__from")).withColumn(f"{source.var}__label", F.lit(next(iter(near))))
+        out = State(e if st.empty else st.df.crossJoin(e), {**st.scope, source.var: Sym("node", source.var, near), r.var: Sym("edge", r.var, props=props)})
+        out = self.filters(self.inline(out, r.var, r.props), pending)
+        out = self.reach(out, target, col(f"{r.var}__to"), far)
+        return self.filters(replace(out, df=out.df.drop(f"{r.var}__from", f"{r.var}__to")), pending)
+
     def _selective(self, n: ast.NodePattern, pending: list) -> bool:
         return bool(n.props) or any(e[0] == "cmp" and e[1] == "=" and ast.free_names(e) == {n.var} for e in pending)
 
@@ -228,13 +246,12 @@ class Compiler:
         for kind, frame in self.graph.edges.items():
             if r.types and kind not in r.types:
                 continue
-            props = [p for p in frame.props if p in want]
             ways = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[r.direction]
             for a, b in ways:
                 la, lb = (frame.src_label, frame.dst_label) if a == "src" else (frame.dst_label, frame.src_label)
                 if (source and la and la not in source) or (target and lb and lb not in target):
                     continue
-                df = frame.df
+                df, props = frame.df, [p for p in frame.props if p in want]
                 if r.direction == "both" and a == "dst":
                     df = df.filter("src <> dst")
                 if r.port is not None:

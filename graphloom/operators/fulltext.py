@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import materialise
+
 K1, B = 1.2, 0.75
 BREAK = r"[^\p{L}\p{N}]+"
 
@@ -58,8 +60,8 @@ def _times(word: str) -> Column:
 def search(docs: DataFrame, query: str, k: int | None = 10, stop_words: list[str] | None = None) -> DataFrame:
     """(id, score) of docs (id, text) by BM25, best first.
 
-    The texts are read and tokenised in place: statistics of the corpus are one row, term counts need no
-    shuffle. (Where many queries are asked, ``postings`` gives an index to keep.)
+    The texts are read and tokenised once and in place: term counts need no shuffle, and the statistics of the
+    corpus are one row. (Where many queries are asked, ``postings`` gives an index to keep.)
     """
     parsed = parse_query(query)
     stop = set(stop_words or [])
@@ -67,13 +69,6 @@ def search(docs: DataFrame, query: str, k: int | None = 10, stop_words: list[str
     held = docs.select("id", tokens(F.col("text")).alias("t"))
     if stop:
         held = held.withColumn("t", F.filter("t", lambda t: ~t.isin(sorted(stop))))
-    counted = held.select("id", "t", F.size("t").alias("dl"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))])
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = [_holds([w for w in g if w not in stop] or g) for g in parsed.any_of]
     want = F.lit(not parsed.any_of or bool(parsed.all_of))
     for h in hits:
@@ -82,7 +77,15 @@ def search(docs: DataFrame, query: str, k: int | None = 10, stop_words: list[str
         want = want & _holds(g)
     for g in parsed.none_of:
         want = want & ~_holds(g)
-    found = counted.crossJoin(F.broadcast(stats)).filter(want).select("id", score.alias("score"))
+    # a few numbers a document, kept: the statistics and the scores both follow from them
+    counted = materialise(held.select("id", F.size("t").alias("dl"), want.alias("want"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(words)]), "term-counts")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))])
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
+        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = counted.filter("want").crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
     return found if k is None else found.orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -47,23 +47,27 @@ def shortest(starts: DataFrame, edges: DataFrame, high: int, targets: DataFrame
     search stops once every start has reached every one of them. Each level is one join of the frontier with
     the edges and one anti-join with what was reached before; levels are written, so lineage stays short.
     """
-    steps = _steps(edges).select("_from", "_to").distinct()
+    steps = materialise(_steps(edges).select("_from", "_to").distinct(), "steps")
     front = starts.select("start", F.col("start").alias("end"), F.array("start").alias("path"))
     seen = front.select("start", "end")
     wanted = starts.count() * targets.count() if targets is not None else None
+    aims = None if targets is None else targets.withColumn("_aim", F.lit(True))
     reached = 0
     levels = []
     for _ in range(high):
         new = front.join(steps, F.col("end") == F.col("_from")).select("start", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path"))
         new = new.groupBy("start", "end").agg(F.min("path").alias("path"))
         front = materialise(new.join(seen, ["start", "end"], "left_anti"), "frontier")
-        if front.isEmpty():
+        if targets is None:
+            size, hits = front.count(), 0
+        else:
+            size, hits = front.join(aims, "end", "left").agg(F.count("*"), F.count("_aim")).first()
+        if not size:
             break
         levels.append(front)
         seen = seen.unionByName(front.select("start", "end"))
-        if wanted is not None:
-            reached += front.join(targets, "end", "left_semi").count()
-            if reached >= wanted:
-                break
+        reached += hits
+        if wanted is not None and reached >= wanted:
+            break
     found = reduce(DataFrame.unionByName, levels) if levels else front.filter(F.lit(False))
     return found if targets is None else found.join(targets, "end", "left_semi")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.graph import EdgeFrame, Graph, keyed
@@ -12,49 +13,73 @@ WIDTH = 10**12
 OFFSETS = {label: k * WIDTH for k, label in enumerate(["Customer", "Order", "Part", "Supplier", "Nation", "Region", "User", "Event", "Doc", "Vec", "Page", "Turn"])}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_known: dict[tuple[str, str], Graph] = {}
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
-    t = lambda name: _table(spark, sf_dir, name)
-    at = lambda label, c: F.col(c).cast("bigint") + F.lit(OFFSETS[label])
+    """The graph over the tables of a folder. Tables are opened on first use, and stay open for the application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _known:
+        _known[at] = _build(spark, sf_dir)
+    return _known[at]
 
-    def edge(df: DataFrame, eid, src, dst, port=None, props=()) -> DataFrame:
-        return df.select(eid.cast("bigint").alias("eid"), src.alias("src"), dst.alias("dst"), (F.lit(0) if port is None else port).cast("int").alias("port"), *props)
 
-    customer, orders, line, events = t("customer"), t("orders"), t("lineitem"), t("events")
+def _build(spark: SparkSession, sf_dir: str) -> Graph:
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
+    def node(name: str, key: str, label: str):
+        return keyed(lambda: t(name), key, OFFSETS[label])
+
+    def end(label: str, c: str) -> Column:
+        return F.col(c).cast("bigint") + F.lit(OFFSETS[label])
+
+    def edge(name: str, eid: str, a: str, src: str, b: str, dst: str) -> EdgeFrame:
+        return EdgeFrame(lambda: t(name).select(F.col(eid).cast("bigint").alias("eid"), end(a, src).alias("src"), end(b, dst).alias("dst"), F.lit(0).alias("port")), a, b)
+
+    def line(b: str, dst: str, props: list[str]) -> EdgeFrame:
+        # line items repeat their key, so the edge id is a hash of all that tells two apart
+        return EdgeFrame(lambda: t("lineitem").select(F.xxhash64(*t("lineitem").columns).alias("eid"), end("Order", "l_orderkey").alias("src"), end(b, dst).alias("dst"), F.col("l_linenumber").cast("int").alias("port"), *props), "Order", b)
+
+    def ring() -> DataFrame:
+        """Customer k is linked to k + 1, k + 2 and 7 k + 1, round the number of customers."""
+        k, n = F.col("c_custkey"), F.col("n")
+        ends = F.array(*[F.struct(F.lit(j).alias("port"), F.pmod(to, n).alias("to")) for j, to in enumerate((k + 1, k + 2, 7 * k + 1))])
+        all_ = t("customer").agg(F.count("*").alias("n"))
+        e = t("customer").crossJoin(F.broadcast(all_)).select(k.alias("k"), F.explode(ends).alias("e"))
+        return e.select((F.col("k") * 3 + F.col("e.port")).alias("eid"), end("Customer", "k").alias("src"), (F.col("e.to") + F.lit(OFFSETS["Customer"])).alias("dst"), F.col("e.port").cast("int").alias("port"))
+
+    def chain() -> DataFrame:
+        """Each order leads to the customer's next one."""
+        following = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+        pairs = t("orders").select("o_orderkey", following.alias("next")).filter("next IS NOT NULL")
+        return pairs.select(F.col("o_orderkey").alias("eid"), end("Order", "o_orderkey").alias("src"), end("Order", "next").alias("dst"), F.lit(0).alias("port"))
+
     nodes = {
-        "Customer": keyed(customer, "c_custkey", OFFSETS["Customer"]),
-        "Order": keyed(orders, "o_orderkey", OFFSETS["Order"]),
-        "Part": keyed(t("part"), "p_partkey", OFFSETS["Part"]),
-        "Supplier": keyed(t("supplier"), "s_suppkey", OFFSETS["Supplier"]),
-        "Nation": keyed(t("nation"), "n_nationkey", OFFSETS["Nation"]),
-        "Region": keyed(t("region"), "r_regionkey", OFFSETS["Region"]),
-        "User": keyed(events.select("user_id").distinct(), "user_id", OFFSETS["User"]),
-        "Event": keyed(events, "event_id", OFFSETS["Event"]),
-        "Doc": keyed(t("documents"), "doc_id", OFFSETS["Doc"]),
-        "Vec": keyed(t("embeddings"), "vec_id", OFFSETS["Vec"]),
+        "Customer": node("customer", "c_custkey", "Customer"),
+        "Order": node("orders", "o_orderkey", "Order"),
+        "Part": node("part", "p_partkey", "Part"),
+        "Supplier": node("supplier", "s_suppkey", "Supplier"),
+        "Nation": node("nation", "n_nationkey", "Nation"),
+        "Region": node("region", "r_regionkey", "Region"),
+        "User": keyed(lambda: t("events").select("user_id").distinct(), "user_id", OFFSETS["User"]),
+        "Event": node("events", "event_id", "Event"),
+        "Doc": node("documents", "doc_id", "Doc"),
+        "Vec": node("embeddings", "vec_id", "Vec"),
     }
-    # line items repeat their key, so the edge id is a hash of all that tells two apart
-    line_id = F.xxhash64(*line.columns)
-    n = customer.agg(F.count("*").alias("n"))
-    ring = customer.crossJoin(F.broadcast(n)).select(
-        F.col("c_custkey").alias("k"),
-        F.explode(F.array(F.struct(F.lit(0).alias("j"), F.pmod(F.col("c_custkey") + 1, F.col("n")).alias("to")), F.struct(F.lit(1).alias("j"), F.pmod(F.col("c_custkey") + 2, F.col("n")).alias("to")), F.struct(F.lit(2).alias("j"), F.pmod(7 * F.col("c_custkey") + 1, F.col("n")).alias("to")))).alias("e"),
-    )
-    from pyspark.sql import Window as W
-
-    chain = orders.select("o_orderkey", F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next")).filter("next IS NOT NULL")
     edges = {
-        "IN_REGION": EdgeFrame(edge(t("nation"), F.col("n_nationkey"), at("Nation", "n_nationkey"), at("Region", "n_regionkey")), "Nation", "Region"),
-        "IN_NATION": EdgeFrame(edge(customer, F.col("c_custkey"), at("Customer", "c_custkey"), at("Nation", "c_nationkey")), "Customer", "Nation"),
-        "BASED_IN": EdgeFrame(edge(t("supplier"), F.col("s_suppkey"), at("Supplier", "s_suppkey"), at("Nation", "s_nationkey")), "Supplier", "Nation"),
-        "PLACED": EdgeFrame(edge(orders, F.col("o_orderkey"), at("Customer", "o_custkey"), at("Order", "o_orderkey")), "Customer", "Order"),
-        "CONTAINS": EdgeFrame(edge(line, line_id, at("Order", "l_orderkey"), at("Part", "l_partkey"), F.col("l_linenumber"), ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]), "Order", "Part"),
-        "SUPPLIED_BY": EdgeFrame(edge(line, line_id, at("Order", "l_orderkey"), at("Supplier", "l_suppkey"), F.col("l_linenumber"), ["l_quantity"]), "Order", "Supplier"),
-        "DID": EdgeFrame(edge(events, F.col("event_id"), at("User", "user_id"), at("Event", "event_id")), "User", "Event"),
-        "LINK": EdgeFrame(edge(ring, F.col("k") * 3 + F.col("e.j"), at("Customer", "k"), F.col("e.to") + F.lit(OFFSETS["Customer"]), F.col("e.j")), "Customer", "Customer"),
-        "NEXT": EdgeFrame(edge(chain, F.col("o_orderkey"), at("Order", "o_orderkey"), at("Order", "next")), "Order", "Order"),
+        "IN_REGION": edge("nation", "n_nationkey", "Nation", "n_nationkey", "Region", "n_regionkey"),
+        "IN_NATION": edge("customer", "c_custkey", "Customer", "c_custkey", "Nation", "c_nationkey"),
+        "BASED_IN": edge("supplier", "s_suppkey", "Supplier", "s_suppkey", "Nation", "s_nationkey"),
+        "PLACED": edge("orders", "o_orderkey", "Customer", "o_custkey", "Order", "o_orderkey"),
+        "CONTAINS": line("Part", "l_partkey", ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]),
+        "SUPPLIED_BY": line("Supplier", "l_suppkey", ["l_quantity"]),
+        "DID": edge("events", "event_id", "User", "user_id", "Event", "event_id"),
+        "LINK": EdgeFrame(ring, "Customer", "Customer"),
+        "NEXT": EdgeFrame(chain, "Order", "Order"),
     }
     return Graph(spark, nodes, edges)
