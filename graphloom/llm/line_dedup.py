@@ -93,10 +93,10 @@ def _variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     here = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _at(_P1, pos), dtype=np.uint64)])
     moved = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[1:] * _at(_P1, pos[:-1]), dtype=np.uint64)])
     gone = here[:-1] + moved[-1] - moved
-    size = np.uint64(n)
+    size = np.array([n], np.uint64)
     same_place = mix64(gone + mix64(pos.astype(np.uint64) * np.uint64(2) + np.uint64(1) + (size << np.uint64(32))))
     any_place = mix64(gone ^ mix64((size - np.uint64(1)) * _HALVES))
-    whole = mix64(here[-1:] ^ mix64(np.array([size]) * _HALVES))
+    whole = mix64(here[-1:] ^ mix64(size * _HALVES))
     return np.concatenate([same_place, any_place, whole]), np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1])
 
 
