@@ -56,7 +56,8 @@ def test_rebalance(spark):
     load = Counter()
     for slot, shard in got.items():
         load[shard] += rows[slot][2]
-    assert max(load.values()) <= 1.35 * sum(load.values()) / 6
+    # a shard goes beyond its fair share by less than the slot that it was given last
+    assert max(load.values()) < -(-sum(load.values()) // 6) + max(b for *_, b in rows)
 
 
 def test_versions_are_kept(spark):
