@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table, words
+from graphloom.storage import materialise
 
 CAPACITY = 2048
 BUCKETS = 1024
@@ -121,7 +122,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     """doc_id, piece, length, bin_id, bin_offset of every piece; the length is in words unless given."""
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-    pieces = pieces_of(docs, capacity, words(F.col("text")) if length is None else length).withColumn("bucket", bucket)
+    # four numbers a piece, kept: the texts are read once
+    pieces = materialise(pieces_of(docs, capacity, words(F.col("text")) if length is None else length).withColumn("bucket", bucket), "pieces")
     sizes = pieces.filter("length > 0").groupBy("length", "bucket").agg(F.count("*").alias("items"))
     # at most capacity x BUCKETS rows
     upto = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
