@@ -176,7 +176,7 @@ class Compiler:
         if source.var in st.scope or target.var in st.scope or source.var == target.var or r.hops is not None or source.props or self.shards is not None or self.used.get(source.var, set()) - {"label"}:
             return None
         edges, props, near, far = self.edge_frame(r, self.labels_of(source.label), self.labels_of(target.label))
-        if near is None or len(near) != 1:
+        if near is None or len(near) != 1 or source.label not in (None, *near):
             return None
         e = edges.select(*[F.col(f"`{c}`").alias(f"{r.var}__{c}") for c in edges.columns])
         e = e.withColumn(f"{source.var}__id", col(f"{r.var}__from")).withColumn(f"{source.var}__label", F.lit(next(iter(near))))
@@ -240,7 +240,8 @@ class Compiler:
         return st
 
     def edge_frame(self, r: ast.RelPattern, source: frozenset[str] | None, target: frozenset[str] | None) -> tuple[DataFrame, frozenset[str], frozenset[str] | None, frozenset[str] | None]:
-        """from, to, eid, type, port and the wanted properties of the edges that fit, with the labels of their ends."""
+        """from, to, eid, type, port and the wanted properties of the edges that fit, and the labels that their ends
+        are sure to have, None where the edges don't tell."""
         want = self.used.get(r.var, set()) | set(r.props)
         parts, have, near, far = [], set(), set(), set()
         for kind, frame in self.graph.edges.items():
@@ -262,9 +263,9 @@ class Compiler:
                 far.add(lb)
         if not parts:
             none = self.graph.spark.range(0)
-            return none.select(*[F.col("id").alias(c) for c in ("from", "to", "eid")], F.lit("").alias("type"), F.lit(0).alias("port")), frozenset(), source, target
-        labels = lambda found, known: known or (None if None in found else frozenset(found))
-        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), frozenset(have), labels(near, source), labels(far, target)
+            return none.select(*[F.col("id").alias(c) for c in ("from", "to", "eid")], F.lit("").alias("type"), F.lit(0).alias("port")), frozenset(), None, None
+        labels = lambda found: None if None in found else frozenset(found)
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), frozenset(have), labels(near), labels(far)
 
     def expand(self, st: State, source: ast.NodePattern, r: ast.RelPattern, target: ast.NodePattern, pending: list) -> State:
         s = st.scope[source.var]
@@ -284,12 +285,14 @@ class Compiler:
         out = replace(out, df=out.df.drop(f"{r.var}__from", f"{r.var}__to"))
         return self.filters(out, pending)
 
-    def reach(self, st: State, n: ast.NodePattern, at: Column, labels: frozenset[str] | None) -> State:
-        """Binds a node that an edge leads to. Its frame is joined only if something of it is needed."""
+    def reach(self, st: State, n: ast.NodePattern, at: Column, sure: frozenset[str] | None) -> State:
+        """Binds a node that an edge leads to; ``sure`` are the labels that the edge vouches for. The node's frame
+        is joined only if something of it is needed, its label included."""
         wanted = self.used.get(n.var, set()) | set(n.props)
-        one = next(iter(labels)) if labels and len(labels) == 1 else None
+        one = next(iter(sure)) if sure and len(sure) == 1 and n.label in (None, *sure) else None
+        labels = self.labels_of(n.label) or sure
         if not (wanted - {"label"}) and one is not None and self.shards is None:
-            st = State(st.df.withColumn(f"{n.var}__id", at).withColumn(f"{n.var}__label", F.lit(one)), {**st.scope, n.var: Sym("node", n.var, labels)})
+            st = State(st.df.withColumn(f"{n.var}__id", at).withColumn(f"{n.var}__label", F.lit(one)), {**st.scope, n.var: Sym("node", n.var, sure)})
         else:
             scan, sym = self.node_frame(n.var, labels, n.props)
             st = State(st.df.join(scan, at == col(f"{n.var}__id")), {**st.scope, n.var: sym})
@@ -316,7 +319,6 @@ class Compiler:
         low, high = r.hops
         s = st.scope[source.var]
         edges, _, _, far = self.edge_frame(r, None, None)
-        far = self.labels_of(target.label) or far
         found = paths.variable_length(self._starts(st, source), edges, max(low or 1, 1), high)
         if low == 0:
             zero = self._starts(st, source).select("start", F.col("start").alias("end"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("eids"))
@@ -339,10 +341,9 @@ class Compiler:
             found = found.filter("start <> end").unionByName(both.select("start", "end", F.array("start").alias("path")))
         else:
             targets = None
-            far = self.labels_of(target.label) or far
             if any(ast.free_names(e) == {target.var} for e in pending) or target.props:
                 # predicates on the target alone narrow the search and end it early
-                scan, sym = self.node_frame(target.var, far, target.props)
+                scan, sym = self.node_frame(target.var, self.labels_of(target.label) or far, target.props)
                 own = self.inline(State(scan, {target.var: sym}), target.var, target.props)
                 own = self.filters(own, [e for e in pending if ast.free_names(e) == {target.var}])
                 targets = own.df.select(col(f"{target.var}__id").alias("end"))

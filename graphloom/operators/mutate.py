@@ -153,21 +153,22 @@ class Writer:
         missing = own.filter("_found IS NULL").select(*[col(f"_k_{k}").alias(k) for k in keys]).distinct() if keys else own.filter("_found IS NULL").select(F.lit(1).alias("_one")).distinct()
         made = _numbered(missing).crossJoin(_next_id(self.graph, label)).withColumn("id", F.col("_base") + F.col("_nth")).drop("_base", "_nth", "_one")
         made = materialise(made, "merged-new")
-        matched = own.filter("_found IS NOT NULL").select(F.col("_found").alias(f"{n.var}__id")).distinct()
+        matched = own.filter("_found IS NOT NULL").select(F.col("_found").alias("_merged")).distinct()
         self.graph = add_nodes(self.graph, label, made)
-        sym = Sym("node", n.var, frozenset([label]))
+        plain = ast.NodePattern(n.var, label, {})
         on_create = [x for x in m.on_create if x[0] == n.var]
         on_match = [x for x in m.on_match if x[0] == n.var]
-        for items, ids in ((on_create, made.select(F.col("id").alias(f"{n.var}__id"))), (on_match, matched)):
+        for items, ids in ((on_create, made.select(F.col("id").alias("_merged"))), (on_match, matched)):
             if items:
-                self.set(State(ids, {n.var: sym}), items)
+                self.set(self.compiler().reach(State(ids, {}), plain, col("_merged"), frozenset([label])), items)
         new = made.select(F.col("id").alias("_new"), *[col(k).alias(f"_h_{k}") for k in keys])
         on = F.col("_found").isNull()
         for k in keys:
             on = on & col(f"_k_{k}").eqNullSafe(col(f"_h_{k}"))
-        bound = own.join(new, on, "left").withColumn(f"{n.var}__id", F.coalesce("_found", "_new")).withColumn(f"{n.var}__label", F.lit(label))
+        bound = own.join(new, on, "left").withColumn("_merged", F.coalesce("_found", "_new"))
         bound = bound.drop("_found", "_new", *[f"_k_{k}" for k in keys], *[f"_h_{k}" for k in keys])
-        return State(bound, {**st.scope, n.var: sym})
+        out = self.compiler().reach(State(bound, st.scope), plain, col("_merged"), frozenset([label]))
+        return State(out.df.drop("_merged"), out.scope)
 
     def merge_edge(self, st: State, r: ast.RelPattern, a: str, b: str) -> None:
         if len(r.types) != 1:
