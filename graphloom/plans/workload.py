@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import EdgeFrame, Graph
 from graphloom.operators import community, fulltext, partition, vector, versions
 from graphloom.session import Session
 from graphloom.sources import files
@@ -300,7 +300,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return changes.unionByName(commits)
 
 
-LOG = "l AS (SELECT epoch(ts)::BIGINT // 3600 AS tx, user_id AS id, event_type AS t, lpad(event_id::VARCHAR, 12, '0') AS v FROM events), c AS (SELECT * FROM l WHERE tx % 3 <> 0)"
+LOG = "l AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS tx, user_id AS id, event_type AS t, lpad(event_id::VARCHAR, 12, '0') AS v FROM events), c AS (SELECT * FROM l WHERE tx % 3 <> 0)"
 NODES = "n AS (SELECT id FROM (SELECT id, max((tx, CASE t WHEN 'error' THEN 'delete_node' ELSE 'create_node' END)) AS m FROM c WHERE t IN ('error', 'signup') {} GROUP BY 1) WHERE m[2] = 'create_node')"
 plan("log_replay", f"WITH {LOG}, {NODES.format('')} SELECT id, t AS key, max((tx, v))[2] AS value FROM c WHERE t NOT IN ('error', 'signup') AND id IN (SELECT id FROM n) GROUP BY 1, 2")(lambda s, d: versions.properties_at(_log(s, d)))
 plan("log_nodes_at", f"WITH {LOG}, x AS (SELECT min(tx) + 200 AS x FROM l), {NODES.format('AND tx <= (SELECT x FROM x)')} SELECT id, 'User' AS label FROM n")(lambda s, d: versions.nodes_at(_log(s, d), _log(s, d).agg(F.min("tx_id") + 200).first()[0]))
@@ -312,13 +312,20 @@ def _link_graph(spark: SparkSession, d: str) -> Graph:
     return _only(from_tables(spark, d), "LINK")
 
 
-def _parts_graph(spark: SparkSession, d: str) -> Graph:
-    """Customers joined along their ring only within tens, so that there are many components."""
-    from graphloom.graph import EdgeFrame
+_parts: dict[tuple[str, str], Graph] = {}
+
 
-    g = _link_graph(spark, d)
-    near = g.edges["LINK"].df.filter("floor(src / 10) = floor(dst / 10)")
-    return g.with_edges("LINK", EdgeFrame(near, "Customer", "Customer"))
+def _parts_graph(spark: SparkSession, d: str) -> Graph:
+    """Customers joined along their ring only within tens, so that there are many components.
+
+    One graph for an application, so that its communities are worked out once for all queries that ask for them.
+    """
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _parts:
+        g = _link_graph(spark, d)
+        near = g.edges["LINK"].df.filter("floor(src / 10) = floor(dst / 10)")
+        _parts[at] = g.with_edges("LINK", EdgeFrame(near, "Customer", "Customer"))
+    return _parts[at]
 
 
 plan("components", "SELECT c_custkey AS id, c_custkey // 10 * 10 AS component FROM customer")(lambda s, d: community.components(_parts_graph(s, d).all_nodes().select("id"), _parts_graph(s, d).all_edges()))
