@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,13 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {KEY} to a folder that all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -43,3 +50,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def delete_table(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def materialise_step(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Writes what ``make`` gives, then deletes the tables that it wrote on the way."""
+    before = len(_written)
+    out = materialise(make(), label)
+    for path in _written[before:-1]:
+        delete_table(out.sparkSession, path)
+    del _written[before:-1]
+    return out
+
+
+def delete_tables(spark: SparkSession) -> None:
+    """Deletes every table that this process has written; DataFrames over them can't be read afterwards."""
+    while _written:
+        delete_table(spark, _written.pop())
