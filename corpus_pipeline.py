@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import line_dedup, minhash, mixing, packing, quality
 from graphloom.llm.common import table
-from graphloom.storage import materialise
+from graphloom.storage import materialise_step
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage writes on the way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = materialise(out, f"stage-{k}") if k < len(STAGES) - 1 else out
-    return docs
+    *most, (_, last) = STAGES
+    for k, (_, stage) in enumerate(most):
+        docs = materialise_step(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{k}")
+    return last(spark, docs, sf_dir)
