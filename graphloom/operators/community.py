@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.storage import materialise
 
-ROUNDS = 8
-
 
 def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id is joined to, whatever the direction of the edges (src, dst).
@@ -33,33 +31,48 @@ def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(pairs.withColumnRenamed("u", "_u"), F.col("id") == F.col("_u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
-def modularity_moves(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def modularity_moves(edges: DataFrame) -> DataFrame:
     """(id, community) by local moves that raise modularity, over undirected weights (src, dst, w) given both ways.
 
-    In each round half of the nodes, by hash, look at the communities of their neighbours and move to the one of
-    the largest gain; halves alternate, so neighbours don't chase each other. A round is two joins and two
-    aggregations; nothing is collected but the sum of weights and whether anything moved.
+    In each round every node looks at the communities of its neighbours for the largest gain, and half of those
+    that gain, by hash, move at once. Where nodes that move together only chase each other, so that modularity
+    does not rise, the round is taken back and half as many are tried; one alone always gains. So modularity
+    rises with every round that stays, and the end is reached when no node gains by a move. A round is three
+    joins and three aggregations; nothing is collected but sums.
     """
     degree = materialise(edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degrees")
-    total = degree.agg(F.sum("k")).first()[0]
-    at = degree.select("id", F.col("id").alias("community"), "k")
-    idle = 0
-    for r in range(2 * rounds):
-        heavy = at.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = edges.join(at.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").filter("src <> dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("links"))
-        own = at.select("id", F.col("community").alias("c"), F.lit(0.0).alias("links"))
-        tried = near.unionByName(own).groupBy("id", "c").agg(F.sum("links").alias("links"))
-        scored = _scored(tried, at, heavy, total)
-        best = scored.groupBy("id").agg(F.max(F.struct("gain", (F.col("c") == F.col("now")).alias("stay"), (-F.col("c")).alias("least"))).alias("b"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        moved = at.join(best, "id").select("id", F.when(turn, -F.col("b.least")).otherwise(F.col("community")).alias("community"), "k", (turn & (F.col("community") != -F.col("b.least"))).alias("moved"))
-        moved = materialise(moved, "moves")
-        changed = moved.filter("moved").limit(1).count()
-        at = moved.drop("moved")
-        idle = 0 if changed else idle + 1
-        if idle == 2:
-            break
-    return at.select("id", "community")
+    total = float(degree.agg(F.sum("k")).first()[0])
+    best, movers, score = _looked(edges, degree.select("id", F.col("id").alias("community"), "k"), total)
+    tries = r = 0
+    while movers:
+        r, tries = r + 1, tries + 1
+        alone = movers < 2**tries
+        if alone:
+            first = best.filter("target <> community").orderBy(F.desc("gain"), "id").first()
+            turn = F.col("id") == first["id"]
+        else:
+            turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2**tries)) == 0
+        tried = _looked(edges, best.select("id", F.when(turn, F.col("target")).otherwise(F.col("community")).alias("community"), "k"), total)
+        if alone or tried[2] > score:
+            best, movers, score = tried
+            tries = 0
+    return best.select("id", "community")
+
+
+def _looked(edges: DataFrame, at: DataFrame, total: float) -> tuple[DataFrame, int, float]:
+    """For nodes at (id, community, k): the same with the best community and its gain; how many would move; the modularity."""
+    heavy = at.groupBy("community").agg(F.sum("k").alias("tot"))
+    near = edges.join(at.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").filter("src <> dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("links"))
+    own = at.select("id", F.col("community").alias("c"), F.lit(0.0).alias("links"))
+    tried = near.unionByName(own).groupBy("id", "c").agg(F.sum("links").alias("links"))
+    scored = _scored(tried, at, heavy, total)
+    stay = F.col("c") == F.col("now")
+    best = scored.groupBy("id", F.col("now").alias("community"), "k").agg(
+        F.max(F.struct("gain", stay.alias("stay"), (-F.col("c")).alias("least"))).alias("b"), F.max(F.when(stay, F.col("links"))).alias("inside"), F.max(F.when(stay, F.col("tot"))).alias("tot")
+    )
+    best = materialise(best.select("id", "community", "k", (-F.col("b.least")).alias("target"), "b.gain", "inside", "tot"), "moves")
+    movers, inside, squares = best.agg(F.count(F.when(F.col("target") != F.col("community"), 1)), F.sum("inside"), F.sum(F.col("k") * F.col("tot"))).first()
+    return best, movers, inside / total - squares / total / total
 
 
 def _scored(tried: DataFrame, at: DataFrame, heavy: DataFrame, total: float) -> DataFrame:
@@ -67,7 +80,7 @@ def _scored(tried: DataFrame, at: DataFrame, heavy: DataFrame, total: float) ->
     known = tried.join(at.select("id", F.col("community").alias("now"), "k"), "id")
     sized = known.join(heavy.withColumnRenamed("community", "c"), "c")
     rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(F.lit(0.0))
-    return sized.select("id", "c", "now", F.round(F.col("links") - F.col("k") * rest / F.lit(float(total)), 9).alias("gain"))
+    return sized.select("id", "c", "now", "k", "tot", "links", F.round(F.col("links") - F.col("k") * rest / F.lit(total), 9).alias("gain"))
 
 
 def communities(graph: Graph) -> DataFrame:
