@@ -6,8 +6,9 @@ the demand reaches ``c``, which the inverse of the integral (a quadratic in each
 are then sorted by range: since the mixed stream has, by construction, one token of demand per position,
 equal-width ranges of position are equally full, and no sampling pass is needed.
 
-A source with more tokens than its demand gives its first ones in scrambled order; one with fewer starts over,
-up to ``max_epochs`` times. Documents are counted along their source in two steps (fixed buckets of the
+A source with more tokens than its demand gives its first ones in scrambled order; one with fewer starts over
+until its demand is met, so every weight holds to the end of the run. Demand sums to the corpus's tokens, so the
+output is no longer than the corpus; ``max_epochs`` bounds the repeats if a caller wants that. Documents are counted along their source in two steps (fixed buckets of the
 scrambled id, then within a bucket), so a source that holds most of the corpus is still spread over tasks.
 
 Defined results: a NULL source is a source of its own. NULL and empty texts hold 0 tokens; they take the
@@ -28,6 +29,7 @@ from graphloom.storage import materialise
 #: Knots of time, each with the power of a source's share of tokens that its weight follows there: from the
 #: natural mix over the square root to all sources alike.
 SCHEDULE = ((0.0, 1.0), (0.6, 0.5), (1.0, 0.0))
+#: The epochs that the SQL spells out; the operator repeats as often as the demand asks for.
 MAX_EPOCHS = 4
 BUCKETS = 256
 
@@ -66,7 +68,7 @@ def _invert(c: Column, segments: Column, total: Column) -> Column:
     return hit["t0"] + F.when(need == 0, F.lit(0.0)).otherwise(2 * need / (hit["w0"] + root))
 
 
-def positions(docs: DataFrame, carried: list[str], schedule=SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def positions(docs: DataFrame, carried: list[str], schedule=SCHEDULE, max_epochs: int | None = None) -> DataFrame:
     """``carried`` columns of docs with _mix_position (in tokens of the run), _mix_epoch and _mix_tokens."""
     key = mixed_key(F.col("doc_id"))
     own = docs.select(
@@ -91,8 +93,9 @@ def positions(docs: DataFrame, carried: list[str], schedule=SCHEDULE, max_epochs
     run = own.withColumn("_mix_run", F.sum("_mix_tokens").over(within) - F.col("_mix_tokens"))
     both = run.join(starts, F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_b")))
     c, supply_, demand = (F.col("_mix_start") + F.col("_mix_run")).cast("double"), F.col("_mix_plan.tokens").cast("double"), F.col("_mix_plan.demand")
-    last = F.least(F.ceil(F.try_divide(demand - c, supply_)) - 1, F.lit(max_epochs - 1)).cast("int")
-    fits = both.filter((c < demand) & (supply_ > 0)).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
+    last = F.ceil(F.try_divide(demand - c, supply_)) - 1
+    last = last if max_epochs is None else F.least(last, F.lit(max_epochs - 1))
+    fits = both.filter((c < demand) & (supply_ > 0)).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))))
     time = _invert(c + F.col("_mix_epoch") * supply_, F.col("_mix_plan.segments"), F.col("_mix_plan.total"))
     return fits.withColumn("_mix_position", time * F.col("_mix_plan.total")).withColumn("_mix_total", F.col("_mix_plan.total"))
 
@@ -107,13 +110,13 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mix(docs: DataFrame, schedule=SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, schedule=SCHEDULE, max_epochs: int | None = None) -> DataFrame:
     """The documents to train on, in training order, with the columns of docs; repeats are rows of their own."""
     placed = positions(docs, docs.columns, schedule, max_epochs)
     return range_sorted(placed, _partitions(docs.sparkSession)).select(*docs.columns)
 
 
-def training_order(docs: DataFrame, schedule=SCHEDULE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def training_order(docs: DataFrame, schedule=SCHEDULE, max_epochs: int | None = None) -> DataFrame:
     """doc_id, source, epoch, n_tokens and position of every document that is trained on, in order."""
     placed = positions(docs, [], schedule, max_epochs)
     return range_sorted(placed, _partitions(docs.sparkSession)).select(
