@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has, word for word or but for one, are taken out."""
-    return line_dedup.without_repeats(docs)
+    """Lines that an earlier line equals are taken out, and long ones that it equals but for one word."""
+    return line_dedup.without_repeats(docs, equal_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Lines are compared by their words. Of all lines of at least ``MIN_WORDS`` words, those for which an earlier
 line (by doc_id, then line number) is equal or within one word edit (a word replaced, added or removed) are
-taken out; the earliest stays.
+taken out; the earliest stays. Of shorter lines, those of at least ``equal_words`` words go if an earlier one
+is equal: equality needs no variants, while one edit of a short line is often another line. The pipeline takes
+out equal lines from one word on; the registered query keeps the bound of its SQL.
 
-1. Equal lines meet by a 128-bit hash; all but the first occurrence go.
+1. Equal lines meet by a 128-bit hash; all but the first occurrence go. Shorter lines take part in this step only.
 2. A line within one edit of another shares one of its halves with it, so a first occurrence none of whose
    halves (for its own length and for one word less) is shared has no partner. The shared halves are marked
    in a bitmap of fixed size, which is broadcast; what it lets through in vain costs time, never results.
@@ -14,7 +16,7 @@ taken out; the earliest stays.
    groups cost in proportion to their size.
 4. Each pair with a witness is verified by edit distance over the words.
 
-Defined results: shorter lines, empty ones included, are left alone. A document that loses all its words goes;
+Defined results: still shorter lines, empty ones included, are left alone. A document that loses all its words goes;
 one that had none (NULL or empty text) stays as it is. Rows with the same id and text are one document and are
 edited alike; a NULL id counts as earliest, and of rows with one id but different texts the one of the smaller
 text hash is earlier. Lines of any length are worked on whole. An empty table gives no rows. Other columns
@@ -122,17 +124,21 @@ def _doc_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
 
 
-def _line_hashes(min_words: int):
+def _line_hashes(min_words: int, equal_words: int):
+    """Positions and hashes of lines; halves only for those that can have a partner within one edit."""
+
     def run(batches):
         for batch in batches:
             for s in slices(batch.column("text")):
-                x = Lines(s, min_words)
+                x = Lines(s, equal_words)
                 h1, h2 = x.hashes()
-                halves = x.halves().view(np.int64).ravel()
+                whole = np.repeat(x.n >= min_words, 4)
+                halves = x.halves().view(np.int64).ravel()[whole]
+                ends = np.concatenate([[0], np.cumsum(np.where(x.n >= min_words, 4, 0))]).astype(np.int32)
                 at = pa.array(x.doc)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(x.line.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                     pa.ListArray.from_arrays(np.arange(0, len(halves) + 1, 4, dtype=np.int32), pa.array(halves))],
+                     pa.ListArray.from_arrays(ends, pa.array(halves))],
                     names=["doc_id", "th", "line", "n", "h1", "h2", "halves"],
                 )
 
@@ -190,11 +196,15 @@ def _bitmap(shared: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, line) of the lines to take out; th is the hash of the document's text."""
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
+    """(doc_id, th, line) of the lines to take out; th is the hash of the document's text.
+
+    ``equal_words``: from how many words on equal lines go; ``min_words``, if it isn't given.
+    """
+    equal_words = min_words if equal_words is None else min(equal_words, min_words)
     spark = docs.sparkSession
     rows = _doc_rows(docs)
-    lines = materialise(rows.mapInArrow(_line_hashes(min_words), LINE_SCHEMA), "lines")
+    lines = materialise(rows.mapInArrow(_line_hashes(min_words, equal_words), LINE_SCHEMA), "lines")
     pos = F.struct(*POS)
     firsts = lines.groupBy("h1", "h2").agg(F.min(pos).alias("p"), F.count("*").alias("c"))
     firsts = materialise(firsts, "first-lines")
@@ -233,10 +243,10 @@ def _distance(a: Column, b: Column) -> Column:
     return distance(a, b)
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None, equal_words: int | None = None) -> DataFrame:
     """docs with repeated lines taken out of text (and n_chars brought up to date, if there is such a column);
     ``removed`` names a column for the number of lines taken out."""
-    drops = repeats(docs, min_words).groupBy(F.col("doc_id").alias("_line_doc"), F.col("th").alias("_line_th")).agg(F.sort_array(F.collect_list("line")).alias("_line_drop"))
+    drops = repeats(docs, min_words, equal_words).groupBy(F.col("doc_id").alias("_line_doc"), F.col("th").alias("_line_th")).agg(F.sort_array(F.collect_list("line")).alias("_line_drop"))
     own = docs.withColumn("_line_key", F.xxhash64("text"))
     both = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.col("_line_key") == F.col("_line_th")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_line_drop", i))
