@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import cosine, dot, euclid
+from graphloom.storage import materialise
 
 
 def similarity(metric: str, a: Column, b: Column) -> Column:
@@ -90,3 +91,39 @@ def ivf_search(model, filed: DataFrame, vector: list[float], k: int, probes: int
     """The k nearest of the vectors in the ``probes`` cells whose centres are nearest to the query."""
     near = sorted(range(len(model.clusterCenters())), key=lambda c: sum((a - b) ** 2 for a, b in zip(model.clusterCenters()[c], vector, strict=True)))[:probes]
     return knn(filed.filter(F.col("cell").isin(near)), vector, k, metric)
+
+
+def ivf_join(model, filed: DataFrame, k: int) -> DataFrame:
+    """(query, id, similarity): the k nearest by cosine, but itself, of every filed vector; as exact as knn_join.
+
+    Cells are kept as the range of angles of their members to their centre. A query first reads the cells nearest
+    to it that together hold k others; the angle of its k-th there bounds the rest. By the triangle inequality a
+    cell farther off than that bound from its outermost member has no nearer vector and is not read.
+    """
+    centres = [c.tolist() for c in model.clusterCenters()]
+    angle = lambda v: F.acos(F.greatest(F.least(v, F.lit(1.0)), F.lit(-1.0)))
+    to = F.array(*[angle(F.coalesce(cosine(F.col("v"), _query(c)), F.lit(0.0))) for c in centres])
+    at = materialise(filed.select("id", "v", "cell", to.alias("to")), "filed")
+    shape = {r["cell"]: (r["r"], r["n"]) for r in at.groupBy("cell").agg(F.max(F.element_at("to", F.col("cell") + 1)).alias("r"), F.count("*").alias("n")).collect()}
+    cells = F.array(*[F.struct(F.element_at("to", c + 1).alias("far"), F.lit(c).alias("cell"), F.lit(float(r)).alias("r"), F.lit(n).alias("n")) for c, (r, n) in shape.items()])
+    order = at.withColumn("cells", F.array_sort(cells))
+    before = lambda x, i: F.aggregate(F.slice("cells", 1, i), F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
+    # one more than k, as the query itself may be among them
+    asked = order.withColumn("near", F.filter("cells", lambda x, i: before(x, i) <= k)).select("id", "v", "cells", "near")
+    vectors = at.select("id", "v", "cell")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+
+    def read(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(vectors, "cell").filter("id <> query")
+        return both.select("query", "id", cosine(F.col("v"), F.col("q")).alias("similarity"))
+
+    near = read(asked.select(F.col("id").alias("query"), F.col("v").alias("q"), F.explode("near.cell").alias("cell")))
+    first = materialise(near.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "nearest")
+    bound = first.groupBy("query").agg(F.count("*").alias("n"), angle(F.min(F.coalesce("similarity", F.lit(-1.0)))).alias("bound"))
+    limit = F.when(F.coalesce("n", F.lit(0)) < k, F.lit(4.0)).otherwise(F.col("bound"))
+    rest = asked.join(bound, asked["id"] == bound["query"], "left").select(
+        F.col("id").alias("query"), F.col("v").alias("q"), limit.alias("bound"), F.array_except(F.transform("cells", lambda x: x["cell"]), F.transform("near", lambda x: x["cell"])).alias("others"), "cells"
+    )
+    rest = rest.select("query", "q", F.explode(F.filter("cells", lambda x: F.array_contains("others", x["cell"]) & (x["far"] - x["r"] <= F.col("bound") + 1e-6))).alias("x"))
+    all_ = first.unionByName(read(rest.select("query", "q", F.col("x.cell").alias("cell"))))
+    return all_.withColumn("place", place).filter(F.col("place") <= k).drop("place")

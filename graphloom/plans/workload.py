@@ -203,7 +203,7 @@ plan("vector_memory", "SELECT count(*) AS vectors, 64::BIGINT AS dimension, (cou
 @plan("ivf_search")
 def _ivf(spark: SparkSession, d: str) -> DataFrame:
     model, filed = vector.ivf(_vectors(spark, d), 8)
-    return _round(vector.ivf_search(model, filed, Q, 10, 3), "similarity")
+    return _round(vector.ivf_join(model, filed, 10), "similarity")
 
 
 # text
