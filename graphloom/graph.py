@@ -52,14 +52,12 @@ class Graph:
     spark: SparkSession
     nodes: dict[str, NodeFrame] = field(default_factory=dict)
     edges: dict[str, EdgeFrame] = field(default_factory=dict)
-    #: (id, community) for CLUSTER(n); worked out once, on first use, and kept with this version of the graph
-    memo: dict = field(default_factory=dict, compare=False)
 
     def with_nodes(self, label: str, frame: NodeFrame) -> Graph:
-        return replace(self, nodes={**self.nodes, label: frame}, memo={})
+        return replace(self, nodes={**self.nodes, label: frame})
 
     def with_edges(self, kind: str, frame: EdgeFrame) -> Graph:
-        return replace(self, edges={**self.edges, kind: frame}, memo={})
+        return replace(self, edges={**self.edges, kind: frame})
 
     def node_scan(self, labels: list[str] | None, props: set[str]) -> DataFrame:
         """id, label and the wanted properties over the given labels, or all; unknown ones give no rows."""

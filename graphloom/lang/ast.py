@@ -30,7 +30,8 @@ class Pattern:
     var: str | None
     nodes: list[NodePattern]
     rels: list[RelPattern]
-    shortest: bool = False
+    #: False, True for one shortest path, "all" for all of them
+    shortest: bool | str = False
 
 
 @dataclass

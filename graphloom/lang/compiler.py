@@ -21,8 +21,7 @@ from graphloom.graph import Graph
 from graphloom.lang import ast
 from graphloom.lang.lexer import QueryError
 from graphloom.operators import paths
-
-SHORTEST_STAR = 15
+from graphloom.operators.partition import by_hash
 
 
 def col(name: str) -> Column:
@@ -155,7 +154,7 @@ class Compiler:
         for k, r in enumerate(rels):
             source, target = nodes[k], nodes[k + 1]
             if p.shortest:
-                st, piece = self.shortest(st, source, r, target, pending)
+                st, piece = self.shortest(st, source, r, target, pending, p.shortest == "all")
                 trail = piece
             elif early is not None and k == 0:
                 trail = F.concat(trail, F.array(col(f"{st.scope[target.var].name}__id")))
@@ -205,7 +204,7 @@ class Compiler:
             scan = scan.join(groups, F.col("id") == F.col("_c_id"), "left").drop("_c_id")
             have |= {"__cluster"}
         if self.shards is not None:
-            scan = scan.filter(F.pmod(F.xxhash64("id"), F.lit(self.shard_count)).isin(self.shards))
+            scan = scan.filter(by_hash(F.col("id"), self.shard_count).isin(self.shards))
         sym = Sym("node", var, labels, frozenset(have))
         return scan.select(*[F.col(f"`{c}`").alias(f"{var}__{c}") for c in ["id", "label", *sorted(have)]]), sym
 
@@ -328,15 +327,15 @@ class Compiler:
         named = r.var if not r.var.startswith("_r") else None
         return self._ends(st, source, target, found, far, pending, var, named), col(f"{var}__path")
 
-    def shortest(self, st: State, source, r, target, pending) -> tuple[State, Column]:
-        high = 1 if r.hops is None else (r.hops[1] or SHORTEST_STAR)
+    def shortest(self, st: State, source, r, target, pending, every: bool) -> tuple[State, Column]:
+        high = 1 if r.hops is None else r.hops[1]
         edges, _, _, far = self.edge_frame(r, None, None)
         starts = self._starts(st, source)
         var = f"_p{next(self.fresh)}"
         if target.var in st.scope:
             t = st.scope[target.var]
             targets = st.df.select(col(f"{t.name}__id").alias("end")).distinct()
-            found = paths.shortest(starts, edges, high, targets)
+            found = paths.shortest(starts, edges, high, targets, every)
             both = st.df.select(col(f"{st.scope[source.var].name}__id").alias("start"), col(f"{t.name}__id").alias("end")).filter("start = end").distinct()
             found = found.filter("start <> end").unionByName(both.select("start", "end", F.array("start").alias("path")))
         else:
@@ -347,7 +346,7 @@ class Compiler:
                 own = self.inline(State(scan, {target.var: sym}), target.var, target.props)
                 own = self.filters(own, [e for e in pending if ast.free_names(e) == {target.var}])
                 targets = own.df.select(col(f"{target.var}__id").alias("end"))
-            found = paths.shortest(starts, edges, high, targets)
+            found = paths.shortest(starts, edges, high, targets, every)
         return self._ends(st, source, target, found.select("start", "end", "path"), far, pending, var, None), col(f"{var}__path")
 
     # optional, exists

@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.storage import materialise
+from graphloom.storage import Rolling, materialise
 
 
-def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id is joined to, whatever the direction of the edges (src, dst).
+def star_roots(edges: DataFrame) -> DataFrame:
+    """(id, root) of each end of the edges (src, dst) but the roots: the smallest id that it is joined to.
 
-    Large-star and small-star rounds, each written to the shared folder, until no pair changes.
+    Large-star and small-star rounds until no pair changes; each is written to the shared folder, the one before
+    deleted. The least neighbour is found by an aggregation with a partial step and joined back, so a hub's rows
+    need not meet in one task. The number of rounds grows with the logarithm of a component's size.
     """
-    own = W.partitionBy("u")
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
-    before = None
+    rounds, before = Rolling("stars"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(own))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(own))
-        turned = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = materialise(turned.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        near = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        turned = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        pairs = rounds.keep(turned.select("e.u", "e.v").filter("u <> v").distinct())
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
-            break
+            return pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = now
-    return ids.join(pairs.withColumnRenamed("u", "_u"), F.col("id") == F.col("_u"), "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id is joined to, whatever the direction of the edges (src, dst)."""
+    roots = star_roots(edges).withColumnRenamed("id", "_u")
+    return ids.join(roots, F.col("id") == F.col("_u"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def modularity_moves(edges: DataFrame) -> DataFrame:
@@ -84,23 +90,17 @@ def _scored(tried: DataFrame, at: DataFrame, heavy: DataFrame, total: float) ->
 
 
 def communities(graph: Graph) -> DataFrame:
-    """(id, community) of the nodes that have edges; each community is connected and named after its smallest id.
-
-    Worked out once for a version of the graph, whoever asks.
-    """
-    if "communities" not in graph.memo:
-        ends = graph.all_edges().select("src", "dst").filter("src <> dst")
-        both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-        edges = materialise(both, "weights")
-        if edges.isEmpty():
-            graph.memo["communities"] = graph.spark.range(0).select("id", F.col("id").alias("community"))
-        else:
-            found = modularity_moves(edges)
-            a = found.select(F.col("id").alias("src"), F.col("community").alias("cs"))
-            b = found.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
-            inside = edges.join(a, "src").join(b, "dst").filter("cs = cd").select("src", "dst")
-            graph.memo["communities"] = materialise(components(found.select("id"), inside).withColumnRenamed("component", "community"), "communities")
-    return graph.memo["communities"]
+    """(id, community) of the nodes that have edges; each community is connected and named after its smallest id."""
+    ends = graph.all_edges().select("src", "dst").filter("src <> dst")
+    both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    edges = materialise(both, "weights")
+    if edges.isEmpty():
+        return graph.spark.range(0).select("id", F.col("id").alias("community"))
+    found = modularity_moves(edges)
+    a = found.select(F.col("id").alias("src"), F.col("community").alias("cs"))
+    b = found.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
+    inside = edges.join(a, "src").join(b, "dst").filter("cs = cd").select("src", "dst")
+    return materialise(components(found.select("id"), inside).withColumnRenamed("component", "community"), "communities")
 
 
 def sizes(found: DataFrame) -> DataFrame:
@@ -109,8 +109,12 @@ def sizes(found: DataFrame) -> DataFrame:
 
 def largest(graph: Graph, k: int = 10) -> DataFrame:
     """The k largest communities with their share of all nodes in percent."""
+    return report(graph, communities(graph), k)
+
+
+def report(graph: Graph, found: DataFrame, k: int) -> DataFrame:
     n = graph.all_nodes().agg(F.count("*").alias("n"))
-    return sizes(communities(graph)).crossJoin(n).select("community", "members", F.round(100 * F.col("members") / F.col("n"), 2).alias("percent")).orderBy(F.desc("members"), "community").limit(k)
+    return sizes(found).crossJoin(n).select("community", "members", F.round(100 * F.col("members") / F.col("n"), 2).alias("percent")).orderBy(F.desc("members"), "community").limit(k)
 
 
 def modularity(graph: Graph, found: DataFrame) -> DataFrame:

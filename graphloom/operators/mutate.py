@@ -217,8 +217,7 @@ class Writer:
                     self.graph = self.graph.with_edges(kind, EdgeFrame(df, frame.src_label, frame.dst_label))
                 continue
             gone = materialise(st.df.select(col(f"{s.name}__id").alias("_d")).filter("_d IS NOT NULL").distinct(), "deleted")
-            ends = self.graph.all_edges()
-            if not d.detach and not ends.join(gone, (F.col("src") == F.col("_d")) | (F.col("dst") == F.col("_d")), "left_semi").isEmpty():
+            if not d.detach and any(not self.graph.all_edges().join(gone, F.col(end) == F.col("_d"), "left_semi").isEmpty() for end in ("src", "dst")):
                 raise QueryError("a node with relationships is deleted by DETACH DELETE")
             for label, frame in self.graph.nodes.items():
                 if s.labels is None or label in s.labels:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import materialise
 
-#: How far a path without an upper bound may go.
-UNBOUNDED = 50
 #: Up to so many hops the whole chain is one plan; beyond, each hop is written and an empty frontier ends it.
 UNROLLED = 4
+#: A search between two nodes goes on from both ends in the driver while its frontiers stay below this.
+NARROW = 20_000
 
 
 def _steps(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def variable_length(starts: DataFrame, edges: DataFrame, low: int, high: int | N
     """(start, end, path, eids) of all paths of low..high edges that visit no node twice.
 
     ``starts`` has the distinct ids to start from, ``edges`` from, to and eid. Parallel edges give a path each.
+    Without an upper bound paths grow until none can be extended.
     """
-    top = UNBOUNDED if high is None else high
     steps = _steps(edges)
     front = starts.select(F.col("start"), F.col("start").alias("end"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("eids"))
-    found = []
-    for hop in range(1, top + 1):
+    found, hop = [], 0
+    while high is None or hop < high:
+        hop += 1
         joined = front.join(steps, F.col("end") == F.col("_from")).filter(~F.array_contains("path", F.col("_to")))
         front = joined.select("start", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path"), F.concat("eids", F.array("_eid")).alias("eids"))
-        if top > UNROLLED:
+        if high is None or high > UNROLLED:
             front = materialise(front, "paths")
             if front.isEmpty():
                 break
@@ -40,34 +41,104 @@ def variable_length(starts: DataFrame, edges: DataFrame, low: int, high: int | N
     return reduce(DataFrame.unionByName, found) if found else front.filter(F.lit(False))
 
 
-def shortest(starts: DataFrame, edges: DataFrame, high: int, targets: DataFrame | None = None) -> DataFrame:
-    """(start, end, path) with one shortest path of 1..high edges from each start to each node it reaches.
+def shortest(starts: DataFrame, edges: DataFrame, high: int | None, targets: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """(start, end, path) with one shortest path of 1..high edges from each start to each node it reaches, or,
+    with ``every``, all of them.
 
     Of equally short paths the lexicographically smallest is taken. ``targets`` (end) limits the ends, and the
-    search stops once every start has reached every one of them. Each level is one join of the frontier with
-    the edges and one anti-join with what was reached before; levels are written, so lineage stays short.
+    search stops once every start has reached every one of them; without ``high`` it goes on until nothing new is
+    reached. Each level is one join of the frontier, which is broadcast while it is small, with the edges, and one
+    anti-join with what was reached before; levels are written, so lineage stays short. A search from one node
+    for another runs from both ends while the frontiers stay narrow.
     """
-    steps = materialise(_steps(edges).select("_from", "_to").distinct(), "steps")
+    if targets is not None and not every:
+        one, other = starts.limit(2).collect(), targets.limit(2).collect()
+        if len(one) == len(other) == 1 and one[0][0] != other[0][0]:
+            known, path = _between(edges, one[0][0], other[0][0], high)
+            if known:
+                rows = [] if path is None else [(path[0], path[-1], path)]
+                return edges.sparkSession.createDataFrame(rows, "start bigint, end bigint, path array<bigint>")
+    steps = edges.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
     front = starts.select("start", F.col("start").alias("end"), F.array("start").alias("path"))
     seen = front.select("start", "end")
     wanted = starts.count() * targets.count() if targets is not None else None
     aims = None if targets is None else targets.withColumn("_aim", F.lit(True))
-    reached = 0
-    levels = []
-    for _ in range(high):
+    levels, reached, hop = [], 0, 0
+    while high is None or hop < high:
+        hop += 1
         new = front.join(steps, F.col("end") == F.col("_from")).select("start", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path"))
-        new = new.groupBy("start", "end").agg(F.min("path").alias("path"))
+        new = new.distinct() if every else new.groupBy("start", "end").agg(F.min("path").alias("path"))
         front = materialise(new.join(seen, ["start", "end"], "left_anti"), "frontier")
+        ends = front.select("start", "end").distinct() if every else front.select("start", "end")
         if targets is None:
-            size, hits = front.count(), 0
+            size, hits = (0 if front.isEmpty() else 1), 0
         else:
-            size, hits = front.join(aims, "end", "left").agg(F.count("*"), F.count("_aim")).first()
+            size, hits = ends.join(aims, "end", "left").agg(F.count("*"), F.count("_aim")).first()
         if not size:
             break
         levels.append(front)
-        seen = seen.unionByName(front.select("start", "end"))
+        seen = seen.unionByName(ends)
+        if hop % 8 == 0:
+            seen = materialise(seen, "seen")
         reached += hits
         if wanted is not None and reached >= wanted:
             break
     found = reduce(DataFrame.unionByName, levels) if levels else front.filter(F.lit(False))
     return found if targets is None else found.join(targets, "end", "left_semi")
+
+
+def _between(edges: DataFrame, s: int, t: int, high: int | None) -> tuple[bool, list[int] | None]:
+    """(known, path): the smallest shortest path from s to t, None if there is none. Not known if a frontier would
+    grow beyond ``NARROW``: no more rows than that ever come to the driver at once.
+
+    Each scan of the edges fetches those that leave the near frontier and those that enter the far one.
+    """
+    layers = {"from": {s}, "to": {t}}
+    seen = {"from": {s}, "to": {t}}
+    ways: dict[str, list[dict[int, set[int]]]] = {"from": [], "to": []}
+    hops = 0
+    while high is None or hops < high:
+        touched = " OR ".join(f"`{side}` IN ({','.join(map(str, sorted(layers[side])))})" for side in layers)
+        rows = edges.filter(F.expr(touched)).select("from", "to").limit(NARROW * 4 + 1).collect()
+        if len(rows) > NARROW * 4:
+            return False, None
+        for side, far in (("from", "to"), ("to", "from")):
+            if high is not None and hops >= high:
+                break
+            step: dict[int, set[int]] = {}
+            for r in rows:
+                if r[side] in layers[side] and r[far] not in seen[side]:
+                    step.setdefault(r[side], set()).add(r[far])
+            fresh = set().union(*step.values()) if step else set()
+            hops += 1
+            if not fresh:
+                return True, None
+            if len(fresh) > NARROW:
+                return False, None
+            ways[side].append(step)
+            layers[side] = fresh
+            seen[side] |= fresh
+            meet = fresh & layers[far]
+            if meet:
+                return True, _smallest(s, meet, ways)
+    return True, None
+
+
+def _smallest(s: int, meet: set[int], ways: dict[str, list[dict[int, set[int]]]]) -> list[int]:
+    """The lexicographically smallest of the paths that lead from s, layer by layer, over a node of ``meet``."""
+    onward: list[dict[int, set[int]]] = []
+    useful = meet
+    for step in reversed(ways["from"]):
+        kept = {a: b & useful for a, b in step.items() if b & useful}
+        onward.insert(0, kept)
+        useful = set(kept)
+    for step in reversed(ways["to"]):
+        turned: dict[int, set[int]] = {}
+        for b, nearer in step.items():
+            for a in nearer:
+                turned.setdefault(a, set()).add(b)
+        onward.append(turned)
+    path = [s]
+    for step in onward:
+        path.append(min(step[path[-1]]))
+    return path

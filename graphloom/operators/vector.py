@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import cosine, dot, euclid
+from graphloom.operators.blocks import blocked
 from graphloom.storage import materialise
 
 
@@ -34,12 +37,56 @@ def knn(vectors: DataFrame, vector: list[float], k: int, metric: str = "cosine",
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Similarity of every row of q to every row of x; a vector without length has cosine 0."""
+    if metric == "cosine":
+        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        return np.divide(q @ x.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+    if metric in ("dot", "dot_product"):
+        return q @ x.T
+    if metric in ("euclid", "euclidean", "l2"):
+        # by differences, a strip of dimensions at a time: the product form loses digits between near vectors
+        out = np.zeros((len(q), len(x)))
+        for d in range(q.shape[1]):
+            out += (q[:, d : d + 1] - x[None, :, d]) ** 2
+        return -np.sqrt(out)
+    raise ValueError(f"unknown metric {metric}")
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query, id, similarity): the k nearest vectors, but itself, of each query (id, v)."""
-    asked = queries.select(F.col("id").alias("query"), F.col("v").alias("q"))
-    scored = vectors.crossJoin(asked).filter("id <> query").select("query", "id", similarity(metric, F.col("v"), F.col("q")).alias("similarity"))
+    """(query, id, similarity): the k nearest vectors, but itself, of each query (id, v); ties by the smaller id.
+
+    Queries and vectors meet in blocks: a block of queries and one of vectors make a matrix product, of which the k
+    best of each query go on. So what is shuffled is blocks times blocks and k rows a query and block, and no
+    pair is ever a row. Vectors of another dimension are not compared.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if metric not in ("cosine", "dot", "dot_product", "euclid", "euclidean", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    q = materialise(blocked(queries).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), "query-blocks")
+    x = materialise(blocked(vectors), "vector-blocks")
+    tasks = max(1, min(q.count() * x.count(), 100_000))
+    met = q.join(x, "dim").repartition(tasks, "q_block", "block")
+
+    def nearest(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a, b = np.frombuffer(r.q_x).reshape(-1, r.dim), np.frombuffer(r.x).reshape(-1, r.dim)
+                qs, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+                by_id = np.argsort(ids, kind="stable")
+                b, ids = b[by_id], ids[by_id]
+                for at in range(0, len(a), 512):
+                    s = _scores(metric, a[at : at + 512], b)
+                    s[qs[at : at + 512, None] == ids[None, :]] = -np.inf
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(s, best, axis=1)
+                    keep = value > -np.inf
+                    yield pd.DataFrame({"query": np.repeat(qs[at : at + 512], keep.sum(1)), "id": ids[best[keep]], "similarity": value[keep]})
+
+    found = met.mapInPandas(nearest, "query bigint, id bigint, similarity double")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
 def sharded_knn(vectors: DataFrame, vector: list[float], k: int, shards: int, metric: str = "cosine") -> DataFrame:
@@ -77,13 +124,17 @@ def memory(vectors: DataFrame) -> DataFrame:
     return vectors.agg(n.alias("vectors"), d.cast("bigint").alias("dimension"), F.sum(F.size("v") * 4).alias("float_bytes"), F.sum(F.size("v") + 8).alias("int8_bytes"), F.sum(F.ceil(F.size("v") / 8)).alias("binary_bytes"))
 
 
-def ivf(vectors: DataFrame, cells: int, seed: int = 1):
-    """(model, vectors with their cell): an inverted file whose cells are k-means clusters."""
+def ivf(vectors: DataFrame, cells: int, seed: int = 1, fit_rows: int = 100_000):
+    """(model, vectors with their cell): an inverted file whose cells are k-means clusters.
+
+    The centres are fitted on the ``fit_rows`` vectors whose ids hash lowest; every vector is filed.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = vectors.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell", maxIter=10).fit(ready)
+    sample = ready.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell", maxIter=10).fit(sample)
     return model, model.transform(ready).drop("features")
 
 
@@ -93,8 +144,9 @@ def ivf_search(model, filed: DataFrame, vector: list[float], k: int, probes: int
     return knn(filed.filter(F.col("cell").isin(near)), vector, k, metric)
 
 
-def ivf_join(model, filed: DataFrame, k: int) -> DataFrame:
-    """(query, id, similarity): the k nearest by cosine, but itself, of every filed vector; as exact as knn_join.
+def ivf_join(model, filed: DataFrame, k: int, asking: Column | None = None) -> DataFrame:
+    """(query, id, similarity): the k nearest by cosine, but itself, of every filed vector, or of those that
+    ``asking`` (over id) holds for; as exact as knn_join.
 
     Cells are kept as the range of angles of their members to their centre. A query first reads the cells nearest
     to it that together hold k others; the angle of its k-th there bounds the rest. By the triangle inequality a
@@ -106,7 +158,7 @@ def ivf_join(model, filed: DataFrame, k: int) -> DataFrame:
     at = materialise(filed.select("id", "v", "cell", to.alias("to")), "filed")
     shape = {r["cell"]: (r["r"], r["n"]) for r in at.groupBy("cell").agg(F.max(F.element_at("to", F.col("cell") + 1)).alias("r"), F.count("*").alias("n")).collect()}
     cells = F.array(*[F.struct(F.element_at("to", c + 1).alias("far"), F.lit(c).alias("cell"), F.lit(float(r)).alias("r"), F.lit(n).alias("n")) for c, (r, n) in shape.items()])
-    order = at.withColumn("cells", F.array_sort(cells))
+    order = (at if asking is None else at.filter(asking)).withColumn("cells", F.array_sort(cells))
     before = lambda x, i: F.aggregate(F.slice("cells", 1, i), F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
     # one more than k, as the query itself may be among them
     asked = order.withColumn("near", F.filter("cells", lambda x, i: before(x, i) <= k)).select("id", "v", "cells", "near")

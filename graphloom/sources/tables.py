@@ -13,18 +13,8 @@ WIDTH = 10**12
 OFFSETS = {label: k * WIDTH for k, label in enumerate(["Customer", "Order", "Part", "Supplier", "Nation", "Region", "User", "Event", "Doc", "Vec", "Page", "Turn"])}
 
 
-_known: dict[tuple[str, str], Graph] = {}
-
-
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph over the tables of a folder. Tables are opened on first use, and stay open for the application."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _known:
-        _known[at] = _build(spark, sf_dir)
-    return _known[at]
-
-
-def _build(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over the tables of a folder; each is opened on first use, once for a graph."""
     opened: dict[str, DataFrame] = {}
 
     def t(name: str) -> DataFrame:

@@ -7,12 +7,16 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
-_written: list[str] = []
+#: every table of this process that is still there
+_written: dict[str, None] = {}
+#: the tables of the step that runs here; each thread has its own
+_step: ContextVar[list[str] | None] = ContextVar("step", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,33 +40,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    _written.append(f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    _written[path] = None
+    held = _step.get()
+    if held is not None:
+        held.append(path)
+    return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    return _write(df, label)[0]
 
 
 def delete_table(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _written.pop(path, None)
 
 
 def materialise_step(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """Writes what ``make`` gives, then deletes the tables that it wrote on the way."""
-    before = len(_written)
-    out = materialise(make(), label)
-    for path in _written[before:-1]:
-        delete_table(out.sparkSession, path)
-    del _written[before:-1]
+    """Writes what ``make`` gives, then deletes the tables that ``make`` wrote on the way."""
+    inner: list[str] = []
+    before = _step.set(inner)
+    try:
+        made = make()
+        spark = made.sparkSession
+    finally:
+        _step.reset(before)
+    out = materialise(made, label)
+    for path in inner:
+        delete_table(spark, path)
     return out
 
 
+class Rolling:
+    """The tables of an iteration, of which each is made from the one before: only the last one is kept."""
+
+    def __init__(self, label: str):
+        self.label, self.path = label, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df, self.label)
+        if self.path:
+            delete_table(df.sparkSession, self.path)
+        self.path = path
+        return out
+
+
 def delete_tables(spark: SparkSession) -> None:
     """Deletes every table that this process has written; DataFrames over them can't be read afterwards."""
-    while _written:
-        delete_table(spark, _written.pop())
+    for path in list(_written):
+        delete_table(spark, path)

@@ -15,14 +15,14 @@ def test_steps_leave_only_their_result(spark):
     out = storage.materialise_step(make, "outer")
     assert out.count() == 5 and len(storage._written) == before + 1
     folder = Path(storage.shared_dir(spark).removeprefix("file://")) / "tables"
-    assert {p.name for p in folder.iterdir()} >= {storage._written[-1].rsplit("/", 1)[1]}
+    assert {p.name for p in folder.iterdir()} >= {list(storage._written)[-1].rsplit("/", 1)[1]}
     assert not any(p.name.startswith("inner") for p in folder.iterdir())
 
 
 def test_the_folder_that_the_session_names():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "file:///shared/named/" if key == storage.KEY else default))
     assert storage.fresh_path(session, "x").startswith("file:///shared/named/tables/x-")
-    storage._written.pop()
+    storage._written.popitem()
 
 
 def test_a_cluster_without_a_named_folder_is_an_error():

@@ -36,7 +36,8 @@ def test_query(spark, data, sql, name):
     assert rows(got) == rows(wanted)
 
 
-def test_entry_survives_without_the_optional_parts(spark, tmp_path):
+@pytest.mark.parametrize("with_pipeline_file", [False, True])
+def test_entry_survives_without_the_optional_parts(tmp_path, with_pipeline_file):
     import shutil
     import subprocess
     import sys
@@ -44,5 +45,7 @@ def test_entry_survives_without_the_optional_parts(spark, tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if with_pipeline_file and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(x.startswith('op1') for x in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
