@@ -1,23 +1,32 @@
 """Operator 5: embedding near-duplicates by dual traversal of cover trees.
 
 Vectors are scaled to length 1; a pair is a near duplicate if its cosine is at least ``min_cosine``, that is,
-if its distance is at most ``reach = sqrt(2 - 2 * min_cosine)``.
-
-The top of the tree is spread over the cluster: vectors are routed to the nearest of a few pivots, and each
-cell is a subtree of its own, built where it lies. Within a cell, nested levels cover the vectors with balls
-whose radius halves from level to level; each node keeps its true covering radius (the distance of the
-farthest vector below it). Two nodes can hold a pair within reach only if the distance of their centres is at
-most the sum of their radii plus the reach. The dual traversal prunes cell pairs by that bound, then descends
-both trees level by level, pruning node pairs alike, and compares the vectors that are left. Pivots decide
-only how much is pruned: the pairs are exact for any pivots.
-
-In high dimension, vectors without structure are all about as far from each other, so that upper levels
-prune little; then the traversal compares the nodes of a lower level block by block.
-
-Defined results: vectors that are NULL, empty, of zero length, or hold NULL, NaN or infinite values take part
-in no pair, as do rows without an id; vectors of different dimensions are never near. Repeated rows of one id
-and vector count once; different vectors under one id pair by their ids' other partners only. Pairs are given
-as (smaller id, larger id). An empty table gives no pairs. Only the id and the vector are read.
+if its distance is at most ``reach = sqrt(2 - 2 * min_cosine)``. ``near_classes`` gives every item its class (the
+connected component over near pairs, named after its smallest id) and the number of its links, without ever making
+a row of a pair; ``near_pairs`` lists the pairs themselves.
+
+1. Equal vectors are one node with a weight, found by an aggregation with a partial step.
+2. The top of the tree is split over the cluster, level by level: radii halve from 1; in every node that is
+   still too large, centres farther apart than the level's radius are drawn from a bounded sample of it, and
+   each vector goes to its nearest centre, which keeps its covering radius (the distance of its farthest vector).
+   Centres only decide how much is pruned: results are exact for any.
+3. Each node that is small enough is a cell, where the nested levels are built on down to the vectors.
+4. Dual traversal: pairs of nodes descend together from the root, joined on their parents, and a pair is dropped
+   if the distance of its centres exceeds the sum of the covering radii plus the reach. The pairs of cells that
+   are left are traversed alike inside a task, down to blocks of vectors that are compared as a matrix product.
+   Each cell is sent only to the cells within its reach.
+5. A task gives, for each vector with a partner, the weight of its partners and the smallest id that it is
+   joined to there: at most a row a vector. Links are added up; classes are the components of these joins.
+
+In high dimension, vectors without structure are all about as far from each other, so that balls overlap and the
+traversal compares all cells, block by block, which is quadratic; equal and clustered vectors are pruned.
+
+Defined results of ``near_classes``: a row for each distinct (vec_id, embedding), so repeated rows count once, and
+an id with two vectors has two rows, linked if they are near. Vectors that are NULL, empty, of zero length, or hold
+NULL, NaN or infinite values are alone in the class of their own id with 0 links; so are rows without an id (class
+NULL). Vectors of different dimensions are never near; vectors of any length are compared whole. Ids of any type that
+can be ordered will do. An empty table gives no rows. Only the id and the vector are read, whatever other columns are
+called. ``near_pairs`` gives (smaller id, larger id) once, without pairs of an id with itself.
 """
 
 from __future__ import annotations
@@ -26,16 +35,21 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
+from graphloom.operators.blocks import as_bytes, matrix
+from graphloom.operators.community import star_roots
 from graphloom.storage import materialise
 
 MIN_COSINE = 0.95
+#: Vectors of a cell, about; and children of a node, at most.
 CELL = 4096
-#: Pivots are a bounded sample, as they only route.
-MAX_PIVOTS = 1024
+FANOUT = 64
+#: Vectors that are routed by one call.
+GROUP = 65_536
 LEAF_RADIUS = 0.125
 #: What float32 rounding may add to a distance of unit vectors.
 SLACK = 1e-3
@@ -45,44 +59,55 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
+def separated(x: np.ndarray, radius: float, first: int = 0, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, owner): rows of x, each farther than radius from the earlier ones, that cover all of x unless there
+    are ``most`` of them; and the nearest centre of every row. Candidates are tried 64 at a time."""
+    centres = np.array([first])
+    best = _squared(x[centres], x)[0]
+    owner = np.zeros(len(x), np.int64)
+    while most is None or len(centres) < most:
+        left = np.flatnonzero(best > radius * radius)[:64]
+        if not len(left):
+            break
+        d = _squared(x[left], x[left])
+        new = [0]
+        for k in range(1, len(left)):
+            if d[k, new].min() > radius * radius:
+                new.append(k)
+        new = new[: None if most is None else most - len(centres)]
+        to = _squared(x[left[new]], x)
+        near = to.argmin(axis=0)
+        value = to[near, np.arange(len(x))]
+        closer = value < best
+        best[closer], owner[closer] = value[closer], near[closer] + len(centres)
+        centres = np.append(centres, left[new])
+    return centres, owner
+
+
 def build_levels(x: np.ndarray, leaf: float = LEAF_RADIUS) -> list[dict[str, np.ndarray]]:
     """Nested levels over x, coarsest first: centres (rows of x), parents, members' nodes, covering radii.
 
     The radius halves from 1 to ``leaf``. A level's centres include those of the level above, and each new one
-    is beyond the radius of the earlier centres below the same parent. The last level is the vectors.
+    is beyond the radius of the others below the same parent. The last level is the vectors.
     """
     n = len(x)
-    levels = [{"centre": np.zeros(1, np.int64), "parent": np.zeros(1, np.int64), "node": np.zeros(n, np.int64)}]
+    levels = [{"centre": np.zeros(1, np.int64), "node": np.zeros(n, np.int64)}]
     radius = 1.0
-    while radius >= leaf:
+    while radius >= leaf and len(levels[-1]["centre"]) < n:
         above = levels[-1]
-        centre, parent, node = [], [], np.empty(n, np.int64)
+        centre, node, count = [], np.empty(n, np.int64), 0
         order = np.argsort(above["node"], kind="stable")
-        cuts = np.flatnonzero(np.diff(above["node"][order])) + 1
-        for members in np.split(order, cuts):
-            top = above["node"][members[0]]
-            own = above["centre"][top]
-            left, pick = members, own
-            best = np.full(len(members), np.inf)
-            chosen = np.zeros(len(members), np.int64)
-            while True:
-                d = _squared(x[pick : pick + 1], x[members])[0]
-                closer = d < best
-                best[closer] = d[closer]
-                chosen[closer] = len(centre)
-                centre.append(pick)
-                parent.append(top)
-                left = members[best > radius * radius]
-                if not len(left):
-                    break
-                pick = left[0]
-            node[members] = chosen
-        levels.append({"centre": np.array(centre), "parent": np.array(parent), "node": node})
+        for members in np.split(order, np.flatnonzero(np.diff(above["node"][order])) + 1):
+            own = int(np.flatnonzero(members == above["centre"][above["node"][members[0]]])[0])
+            chosen, owner = separated(x[members], radius, own) if len(members) > 1 else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+            centre.append(members[chosen])
+            node[members] = owner + count
+            count += len(chosen)
+        levels.append({"centre": np.concatenate(centre), "node": node})
         radius /= 2
-        if len(centre) == n:
-            break
-    if len(levels[-1]["centre"]) < n:
-        levels.append({"centre": np.arange(n), "node": np.arange(n)})
+    if len(levels[-1]["centre"]) == n and len(levels) > 1:
+        levels.pop()
+    levels.append({"centre": np.arange(n), "node": np.arange(n)})
     # a level that hardly coarsens the one below it prunes next to nothing: it is left implicit
     kept = [levels[-1]]
     for level in levels[-2:0:-1]:
@@ -98,131 +123,292 @@ def build_levels(x: np.ndarray, leaf: float = LEAF_RADIUS) -> list[dict[str, np.
     return levels
 
 
-def dual_traversal(x: np.ndarray, y: np.ndarray, tx: list, ty: list, reach: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of x and j of y, with their levels tx and ty, whose distance may be within reach; all that are, are among them."""
+def dual_traversal(x: np.ndarray, y: np.ndarray, tx: list, ty: list, reach: float, same: bool, most: int = 2 << 20):
+    """Yields (i, j, product): rows of x and y whose distance may be within reach, and their inner product, a strip at
+    a time; all that are within reach are among them.
+
+    A level's node pairs are held as a bit a pair; the last level is only ever held in strips of about ``most`` pairs.
+    """
     depth = max(len(tx), len(ty))
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    alive = np.ones((1, 1), bool)
+    if depth == 1:
+        if not same:
+            yield np.zeros(1, np.int64), np.zeros(1, np.int64), x[0] @ y[:1].T
+        return
     for level in range(1, depth):
         a, b = tx[min(level, len(tx) - 1)], ty[min(level, len(ty) - 1)]
-        down_a = level < len(tx)
-        down_b = level < len(ty)
-        i, j = _children(i, j, a, b, down_a, down_b, x, y, reach)
-        if not len(i):
-            break
-    ci, cj = tx[-1]["centre"][i], ty[-1]["centre"][j]
-    if same:
-        keep = ci < cj
-        ci, cj = ci[keep], cj[keep]
-    return ci, cj
-
-
-def _children(i, j, a, b, down_a, down_b, x, y, reach, block: int = 2048):
-    """The pairs of nodes of levels a and b below the node pairs (i, j) that their radii don't rule out."""
-    na, nb = len(a["centre"]), len(b["centre"])
-    pa_, pb = (a["parent"] if down_a else np.arange(na)), (b["parent"] if down_b else np.arange(nb))
-    size_a, size_b = int(pa_.max()) + 1, int(pb.max()) + 1
-    alive = np.zeros((max(size_a, int(i.max()) + 1), max(size_b, int(j.max()) + 1)), bool)
-    alive[i, j] = True
-    out_i, out_j = [], []
-    cb = y[b["centre"]]
-    for start in range(0, na, block):
-        part = slice(start, min(start + block, na))
-        rows = alive[pa_[part]]
-        cols = np.flatnonzero(rows.any(axis=0)[pb])
-        live = np.flatnonzero(rows.any(axis=1))
-        if not len(cols) or not len(live):
-            continue
-        d = np.sqrt(_squared(x[a["centre"][part][live]], cb[cols]))
-        bound = a["radius"][part][live][:, None] + b["radius"][cols][None, :] + reach + SLACK
-        hit_i, hit_j = np.nonzero((d <= bound) & rows[live][:, pb[cols]])
-        out_i.append(live[hit_i] + start)
-        out_j.append(cols[hit_j])
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
-def usable(embeddings: DataFrame) -> DataFrame:
-    """(id, v) of the rows with an id and a finite vector that isn't zero, once each."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return embeddings.filter("vec_id IS NOT NULL").filter(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("id"), v.alias("v")).distinct()
-
-
-def _unit(rows) -> np.ndarray:
-    x = np.array(list(rows), dtype=np.float64)
+        na, nb = len(a["centre"]), len(b["centre"])
+        up_a, up_b = (a["parent"] if level < len(tx) else np.arange(na)), (b["parent"] if level < len(ty) else np.arange(nb))
+        last = level == depth - 1
+        below = None if last else np.zeros((na, nb), bool)
+        whole = alive.all()
+        ca, cb = x[a["centre"]], y[b["centre"]]
+        block = max(1, most // max(nb, 1))
+        for start in range(0, na, block):
+            part = np.arange(start, min(start + block, na))
+            rows = None if whole else alive[up_a[part]]
+            cols = np.arange(nb) if whole else np.flatnonzero(rows.any(axis=0)[up_b])
+            if last and same:
+                cols = cols[cols > start]
+            if not len(cols):
+                continue
+            # for centres of length 1, a bound on the distance is one on the inner product
+            wide = reach + SLACK if last else a["radius"][part][:, None] + b["radius"][cols][None, :] + (reach + SLACK)
+            product = ca[part] @ cb[cols].T
+            hit = product >= np.float32(1 - wide * wide / 2) if last else product >= (1 - np.minimum(wide, 2.0) ** 2 / 2 - SLACK).astype(np.float32)
+            if not whole:
+                hit &= rows[:, up_b[cols]]
+            if not last:
+                below[part[:, None], cols] = hit
+                continue
+            i, j = np.nonzero(hit)
+            about = product[i, j]
+            i, j = a["centre"][part[i]], b["centre"][cols[j]]
+            if same:
+                keep = i < j
+                i, j, about = i[keep], j[keep], about[keep]
+            if len(i):
+                yield i, j, about
+        alive = below
+        if not last and not alive.any():
+            return
+
+
+def local_roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of nodes i and j, pair by pair; ``label`` leads every node to the least node of its set."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label[:] = further
+
+
+def _usable(v: Column) -> Column:
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _items(embeddings: DataFrame) -> DataFrame:
+    """(id, v, key, fine): the rows, a 128-bit key of the vector, and whether it can have links."""
+    v = F.col("embedding")
+    key = F.concat(F.hex(F.xxhash64(v)), F.lit("-"), F.hex(F.xxhash64(F.lit(77), v, F.size(v))))
+    return embeddings.select(F.col("vec_id").alias("id"), v.alias("v"), key.alias("key"), (F.col("vec_id").isNotNull() & _usable(v.cast("array<double>"))).alias("fine"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     # the largest part first, so that squares neither overflow nor vanish
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_pairs(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: int = CELL) -> DataFrame:
-    """(vec_id_a, vec_id_b, cosine) of all pairs of at least min_cosine."""
-    spark = embeddings.sparkSession
-    rows = materialise(usable(embeddings), "vectors")
+def _vectors(rows, dim: int) -> np.ndarray:
+    return _unit(matrix(rows, dim))
+
+
+def _picker(radius: float):
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        x = _vectors(pdf["v"], int(pdf["dim"].iloc[0]))
+        at, _ = separated(x, radius, most=int(pdf["k"].iloc[0]))
+        return pd.DataFrame({"node": pdf["node"].iloc[:1], "centres": [x[at].tobytes()]})
+
+    return pick
+
+
+PLACED = "key string, w bigint, v binary, dim int, node string"
+
+
+def _split(placed: DataFrame, cell: int) -> tuple[DataFrame, DataFrame | None]:
+    """The top of the tree: vectors (key, w, v, dim, node) at the nodes where they end, and the inner nodes
+    (node, parent, centre, radius) above them."""
+    nodes, radius, depth = None, 1.0, 0
+    while radius >= LEAF_RADIUS:
+        sized = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter(F.col("n") > cell)
+        big = materialise(sized.select("node", "n", "least", F.least(F.lit(FANOUT), F.ceil(2 * F.col("n") / cell).cast("int")).alias("k")), "large-nodes")
+        if big.isEmpty():
+            break
+        # about 4 k candidates of a node, whatever its size, and one at least
+        chance = F.pmod(F.xxhash64("key", F.lit(depth)), F.col("n")) < 4 * F.col("k")
+        drawn = placed.join(big, "node").filter(chance | (F.col("key") == F.col("least"))).select("node", "dim", "k", "key", "v")
+
+        centres = materialise(drawn.groupBy("node").applyInPandas(_picker(radius), "node string, centres binary"), "centres")
+        groups = F.ceil(F.col("n") / GROUP).cast("int")
+        moving = placed.join(big.select("node", "n"), "node").withColumn("salt", F.pmod(F.xxhash64("key"), groups).cast("int")).drop("n")
+        known = centres.join(big, "node").select("node", F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"), "centres")
+
+        def route(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame(columns=["key", "w", "v", "dim", "node", "parent", "far"])
+            dim = int(rows["dim"].iloc[0])
+            x, c = _vectors(rows["v"], dim), np.frombuffer(known["centres"].iloc[0]).reshape(-1, dim)
+            d = _squared(x, c)
+            at = d.argmin(axis=1)
+            return rows[["key", "w", "v", "dim"]].assign(node=[f"{n}.{k}" for n, k in zip(rows["node"], at.tolist(), strict=True)], parent=rows["node"], far=np.sqrt(d[np.arange(len(x)), at]))
+
+        routed = moving.groupBy("node", "salt").cogroup(known.groupBy("node", "salt")).applyInPandas(route, f"{PLACED}, parent string, far double")
+        routed = materialise(routed, "routed-vectors")
+        grown = routed.groupBy("node", "parent", "dim").agg(F.max("far").alias("radius")).join(centres.withColumnRenamed("node", "parent"), "parent")
+        own = F.expr("substring(centres, cast(element_at(split(node, '[.]'), -1) AS int) * dim * 8 + 1, dim * 8)")
+        level = materialise(grown.select("node", "parent", own.alias("centre"), "radius"), "inner-nodes")
+        nodes = level if nodes is None else nodes.unionByName(level)
+        columns = ["key", "w", "v", "dim", "node"]
+        placed = placed.join(big.select("node"), "node", "left_anti").select(*columns).unionByName(routed.select(*columns))
+        radius, depth = radius / 2, depth + 1
+    return placed, nodes
+
+
+def _apart(a: Column, b: Column) -> Column:
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([float(np.linalg.norm(np.frombuffer(p) - np.frombuffer(q))) for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    return distance(a, b)
+
+
+def _met(cells: DataFrame, inner: DataFrame | None, reach: float) -> DataFrame:
+    """The pairs of cells (l, r), l <= r, that the descent from the root does not rule out."""
+    leaves = cells.select("node", "parent", "centre", "radius", F.lit(True).alias("leaf"))
+    kids = leaves.unionByName(leaves.withColumn("parent", F.col("node")))
+    if inner is not None:
+        kids = kids.unionByName(inner.withColumn("leaf", F.lit(False)))
+    a, b = (kids.select(*[F.col(c).alias(f"{side}_{c}") for c in kids.columns]) for side in "ab")
+    front = cells.select(F.substring_index("parent", ".", 1).alias("l")).distinct().select("l", F.col("l").alias("r"))
+    while True:
+        both = front.join(a, F.col("l") == F.col("a_parent")).join(b, F.col("r") == F.col("b_parent"))
+        both = both.filter((F.col("l") != F.col("r")) | (F.col("a_node") <= F.col("b_node")))
+        near = (F.col("a_node") == F.col("b_node")) | (_apart(F.col("a_centre"), F.col("b_centre")) <= F.col("a_radius") + F.col("b_radius") + F.lit(reach + SLACK))
+        pair = F.when(F.col("a_node") <= F.col("b_node"), F.struct(F.col("a_node").alias("l"), F.col("b_node").alias("r"))).otherwise(F.struct(F.col("b_node").alias("l"), F.col("a_node").alias("r")))
+        front = materialise(both.filter(near).select(pair.alias("p"), (F.col("a_leaf") & F.col("b_leaf")).alias("done")).select("p.*", "done"), "node-pairs")
+        if front.filter("NOT done").isEmpty():
+            return front.drop("done")
+        front = front.drop("done")
+
+
+def _blocks(nodes: DataFrame, min_cosine: float, cell: int) -> DataFrame:
+    """(pair, side, dim, keys, w, x, tree): both cells of every pair that is left to compare, or the one of a pair
+    of a cell with itself, each pair in a partition."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    wanted = {d: min(MAX_PIVOTS, -(-n // cell)) for d, n in sizes.items()}
-    pivots: dict[int, np.ndarray] = {}
-    for d, k in wanted.items():
-        drawn = rows.filter(F.size("v") == d).orderBy(F.xxhash64("id"), "id").limit(k).toPandas()["v"]
-        pivots[d] = _unit(drawn)
-    # hash parts keep a crowded cell in blocks of about ``cell`` vectors
-    shipped = spark.sparkContext.broadcast(pivots)
-
-    def route(batches):
-        for pdf in batches:
-            for d, own in pdf.groupby(pdf["v"].str.len()):
-                x = _unit(own["v"])
-                near = np.argmax(x @ shipped.value[int(d)].T, axis=1)
-                yield pd.DataFrame({"id": own["id"].to_numpy(), "dim": np.int32(d), "pivot": near.astype(np.int32), "v": [r.tobytes() for r in x]})
-
-    routed = materialise(rows.mapInPandas(route, "id bigint, dim int, pivot int, v binary"), "routed-vectors")
-    crowd = routed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-    placed = routed.join(F.broadcast(crowd), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = as_bytes(nodes.select("key", "w", "v", F.size("v").alias("dim"), F.concat(F.lit("d"), F.size("v")).alias("node")))
+    placed, inner = _split(materialise(packed, "vectors"), cell)
+    crowd = placed.groupBy("node").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+    placed = placed.join(crowd, "node").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1)
+        pdf = pdf.sort_values("key")
+        x = _vectors(pdf["v"], int(pdf["dim"].iloc[0]))
         centre = x.mean(axis=0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "cell": [f"{pdf['pivot'].iloc[0]}/{pdf['part'].iloc[0]}"], "centre": [centre.tolist()], "radius": [radius], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "tree": [pickle.dumps(build_levels(x.astype(np.float32)))]})
-
-    cells = materialise(placed.groupBy("dim", "pivot", "part").applyInPandas(cover, "dim int, cell string, centre array<double>, radius double, ids binary, x binary, tree binary"), "cells")
-    # the top of the dual traversal: pairs of cells, without their vectors
-    top = cells.select("dim", "cell", "centre", "radius")
-    left, right = top.select(*[F.col(c).alias(f"l_{c}") for c in top.columns]), top.select(*[F.col(c).alias(f"r_{c}") for c in top.columns])
-    apart = F.sqrt(F.aggregate(F.zip_with("l_centre", "r_centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
-    pairs = left.join(right, (F.col("l_dim") == F.col("r_dim")) & (F.col("l_cell") <= F.col("r_cell"))).filter(apart <= F.col("l_radius") + F.col("r_radius") + F.lit(reach + SLACK))
-    pairs = pairs.select(F.col("l_dim").alias("dim"), "l_cell", "r_cell")
-    a = cells.select("dim", F.col("cell").alias("l_cell"), F.col("ids").alias("l_ids"), F.col("x").alias("l_x"), F.col("tree").alias("l_tree"))
-    b = cells.select("dim", F.col("cell").alias("r_cell"), F.col("ids").alias("r_ids"), F.col("x").alias("r_x"), F.col("tree").alias("r_tree"))
-    blocks = pairs.join(a, ["dim", "l_cell"]).join(b, ["dim", "r_cell"]).select("dim", "l_cell", "r_cell", "l_ids", "l_x", "l_tree", "r_ids", "r_x", "r_tree")
-
-    def traverse(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                same = r.l_cell == r.r_cell
-                x, ids = np.frombuffer(r.l_x, np.float64).reshape(-1, r.dim), np.frombuffer(r.l_ids, np.int64)
-                y, other = (x, ids) if same else (np.frombuffer(r.r_x, np.float64).reshape(-1, r.dim), np.frombuffer(r.r_ids, np.int64))
-                tx = pickle.loads(r.l_tree)
-                i, j = dual_traversal(x.astype(np.float32), y.astype(np.float32), tx, tx if same else pickle.loads(r.r_tree), reach, same)
-                cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-                keep = (cosine >= min_cosine) & (ids[i] != other[j])
-                p, q = ids[i[keep]], other[j[keep]]
-                yield pd.DataFrame({"vec_id_a": np.minimum(p, q), "vec_id_b": np.maximum(p, q), "cosine": cosine[keep]})
-
-    # a block pair is a lot of work, so each is a task's share of its own
-    n = min(pairs.count(), 100_000)
-    spread = blocks.repartition(max(1, n), "l_cell", "r_cell") if n > 1 else blocks
-    found = spread.mapInPandas(traverse, "vec_id_a bigint, vec_id_b bigint, cosine double")
-    return found.groupBy("vec_id_a", "vec_id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+        name, tree = f"{pdf['node'].iloc[0]}/{pdf['part'].iloc[0]}", build_levels(x.astype(np.float32))
+        return pd.DataFrame({"node": [name], "parent": [pdf["node"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "centre": [centre.tobytes()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))], "keys": [pdf["key"].tolist()],
+                             "w": [pdf["w"].to_numpy(np.int64).tobytes()], "x": [b"".join(pdf["v"])], "tree": [pickle.dumps(tree)]})
+
+    cells = materialise(placed.groupBy("node", "part").applyInPandas(cover, "node string, parent string, dim int, centre binary, radius double, keys array<string>, w binary, x binary, tree binary"), "cells")
+    pairs = _met(cells, inner, reach).withColumn("pair", F.concat("l", F.lit("|"), "r"))
+    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("l").alias("node")).unionByName(pairs.filter("l <> r").select("pair", F.lit(1).alias("side"), F.col("r").alias("node")))
+    copies = sides.join(cells.select("node", "dim", "keys", "w", "x", "tree"), "node").drop("node")
+    return copies.repartition(max(1, min(pairs.count(), 100_000)), "pair")
+
+
+def _open(r: pd.Series) -> tuple:
+    """Vectors, keys, weights and levels of a cell."""
+    w = np.frombuffer(r["w"], np.int64)
+    kind = np.float32 if len(r["x"]) == 4 * r["dim"] * len(w) else np.float64
+    return _unit(np.frombuffer(r["x"], kind).reshape(len(w), -1).astype(np.float64)), np.array(list(r["keys"]), object), w, pickle.loads(r["tree"])
+
+
+def _compared(pdf: pd.DataFrame, min_cosine: float):
+    """The two sides of a block pair, whether they are one, and a generator of (i, j) with a cosine of at least min_cosine."""
+    pdf = pdf.sort_values("side")
+    a, same = _open(pdf.iloc[0]), len(pdf) == 1
+    b = a if same else _open(pdf.iloc[1])
+    reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
+    sure = 1e-5 + 2e-7 * a[0].shape[1]
+
+    def hits():
+        for i, j, about in dual_traversal(a[0].astype(np.float32), b[0].astype(np.float32), a[3], b[3], reach, same):
+            keep = about >= min_cosine + sure
+            close = np.flatnonzero(~keep & (about >= min_cosine - sure))
+            for at in range(0, len(close), 65_536):
+                part = close[at : at + 65_536]
+                keep[part] = np.einsum("ij,ij->i", a[0][i[part]], b[0][j[part]]) >= min_cosine
+            if keep.any():
+                yield i[keep], j[keep]
+
+    return a, b, same, hits()
+
+
+def _nodes(own: DataFrame) -> DataFrame:
+    """(key, w, v): the distinct vectors that can have links; w is the number of their distinct ids."""
+    return own.filter("fine").groupBy("key").agg(F.count_distinct("id").alias("w"), F.any_value("v").alias("v"))
+
+
+def near_classes(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: int = CELL) -> DataFrame:
+    """(vec_id, class_id, links) of every distinct item."""
+    own = _items(embeddings)
+    members = materialise(own.select("id", F.when(F.col("fine"), F.col("key")).otherwise(F.concat(F.lit("-"), "key", F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key"), "fine").distinct(), "items")
+    weights = members.filter("fine").groupBy("key").agg(F.count("*").alias("w"))
+    nodes = own.filter("fine").groupBy("key").agg(F.any_value("v").alias("v")).join(weights, "key")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, same, hits = _compared(pdf, min_cosine)
+        n, m = len(a[1]), 0 if same else len(b[1])
+        label, got = np.arange(n + m), np.zeros(n + m, np.int64)
+        shift = 0 if same else n
+        for i, j in hits:
+            j = j + shift
+            got += np.bincount(i, weights=b[2][j - shift], minlength=n + m).astype(np.int64) + np.bincount(j, weights=a[2][i], minlength=n + m).astype(np.int64)
+            local_roots(label, i, j)
+        keys = a[1] if same else np.concatenate([a[1], b[1]])
+        some = np.flatnonzero(got)
+        return pd.DataFrame({"key": keys[some], "links": got[some], "root": keys[label[some]]})
+
+    found = materialise(_blocks(nodes, min_cosine, cell).groupBy("pair").applyInPandas(links, "key string, links bigint, root string"), "links")
+    counts = found.groupBy("key").agg(F.sum("links").alias("near"))
+    roots = star_roots(found.filter("key <> root").select(F.col("key").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("id", "key")
+    each = members.join(weights, "key", "left").join(counts, "key", "left").join(roots, "key", "left")
+    each = each.select("id", F.coalesce("root", "key").alias("class"), (F.coalesce(F.col("w") - 1, F.lit(0)) + F.coalesce("near", F.lit(0))).alias("links"))
+    names = each.groupBy("class").agg(F.min("id").alias("class_id"))
+    return each.join(names, "class").select(F.col("id").alias("vec_id"), "class_id", "links")
+
+
+def near_pairs(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: int = CELL) -> DataFrame:
+    """(vec_id_a, vec_id_b, cosine) of all pairs of at least min_cosine: as many rows as there are pairs."""
+    own = _items(embeddings).filter("fine")
+    members = materialise(own.select("id", "key").distinct(), "items")
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, _, hits = _compared(pdf, min_cosine)
+        parts = [pd.DataFrame({"k": a[1][i], "l": b[1][j], "cosine": np.einsum("ij,ij->i", a[0][i], b[0][j])}) for i, j in hits]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["k", "l", "cosine"])
+
+    found = _blocks(_nodes(own), min_cosine, cell).groupBy("pair").applyInPandas(pairs, "k string, l string, cosine double")
+    alike = members.select(F.col("key").alias("k"), F.col("key").alias("l"), F.lit(1.0).alias("cosine")).distinct()
+    left, right = members.select(F.col("id").alias("p"), F.col("key").alias("k")), members.select(F.col("id").alias("q"), F.col("key").alias("l"))
+    listed = found.unionByName(alike).join(left, "k").join(right, "l").filter((F.col("p") < F.col("q")) | ((F.col("k") != F.col("l")) & (F.col("p") > F.col("q"))))
+    ends = listed.select(F.least("p", "q").alias("vec_id_a"), F.greatest("p", "q").alias("vec_id_b"), "cosine")
+    return ends.groupBy("vec_id_a", "vec_id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
 def op5_cover_tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    """vec_id, class_id and the number of links of every item, at a cosine of 0.95."""
+    return near_classes(table(spark, sf_dir, "embeddings"))
+
 
+def near_vectors_at_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at a cosine of 0.45, which the vectors of the small tables reach as well."""
+    return near_classes(table(spark, sf_dir, "embeddings"), 0.45)
 
-SQL = f"""
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {MIN_COSINE}
+
+def _sql(least: float) -> str:
+    return f"""
+WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {least}),
+r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.other)
+SELECT id AS vec_id, min(other) AS class_id, (SELECT count(*) FROM p WHERE p.a = id) AS links FROM r GROUP BY id
 """
+
+
+SQL = _sql(MIN_COSINE)
+SQL_AT_HALF = _sql(0.45)

@@ -15,8 +15,10 @@ def test_dual_traversal_misses_nothing(seed, clusters, dim, noise):
     x = c._unit(x + noise * rng.normal(size=x.shape) + 1e-9)
     y = x[rng.permutation(len(x))][: max(1, len(x) // 2)]
     for other, same in ((x, True), (y, False)):
-        i, j = c.dual_traversal(x.astype("f4"), other.astype("f4"), c.build_levels(x.astype("f4")), c.build_levels(other.astype("f4")), np.sqrt(0.1), same)
-        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        parts = c.dual_traversal(x.astype("f4"), other.astype("f4"), c.build_levels(x.astype("f4")), c.build_levels(other.astype("f4")), np.sqrt(0.1), same, most=64)
+        found = [(i, j) for a, b, _ in parts for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(set(found)), "no pair comes twice"
+        found = set(found)
         assert {(a, b) for a, b in np.argwhere(x @ other.T >= 0.95).tolist() if not same or a < b} <= found
 
 
@@ -50,7 +52,51 @@ def test_pairs_are_exact(spark):
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
     for cell in (8, 4096):
         got = {(r.vec_id_a, r.vec_id_b) for r in c.near_pairs(df, cell=cell).collect()}
-        assert got == brute([(k, np.float64(np.float32(v))) for k, v in rows], c.MIN_COSINE)
+        wanted = brute([(k, np.float64(np.float32(v))) for k, v in rows], c.MIN_COSINE)
+        assert got == wanted
+        assert classes_of(c.near_classes(df, cell=cell)) == brute_classes(range(len(rows)), wanted)
+
+
+def classes_of(df):
+    return {r.vec_id: (r.class_id, r.links) for r in df.collect()}
+
+
+def brute_classes(ids, pairs):
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[i] = (min(seen), len(near[i]))
+    return out
+
+
+def test_a_deep_tree_gives_the_same(spark):
+    """Cells so small that the top of the tree is split level by level, with dense and lonely vectors."""
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=8) + 0.02 * rng.normal(size=(150, 8))
+    x = np.concatenate([dense, rng.normal(size=(120, 8)), np.repeat(rng.normal(size=(3, 8)), 20, axis=0)])
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
+    wanted = brute([(k, np.float64(np.float32(v))) for k, v in rows], c.MIN_COSINE)
+    assert classes_of(c.near_classes(df, cell=16)) == brute_classes(range(len(rows)), wanted)
+
+
+def test_many_equal_vectors_are_one_node(spark):
+    df = spark.range(5000).selectExpr("id AS vec_id", "array(CAST(1 AS float), CAST(2 AS float)) AS embedding")
+    got = c.near_classes(df).collect()
+    assert len(got) == 5000 and {(r.class_id, r.links) for r in got} == {(0, 4999)}
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    assert classes_of(c.near_classes(df)) == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 0)}
 
 
 def test_awkward_vectors(spark):
@@ -63,3 +109,6 @@ def test_awkward_vectors(spark):
     got = sorted((r.vec_id_a, r.vec_id_b, r.cosine) for r in c.near_pairs(df).collect())
     assert got == [(1, 2, 1.0), (1, 3, 1.0), (1, 12, 1.0), (2, 3, 1.0), (2, 12, 1.0), (3, 12, 1.0), (10, 11, 1.0)]
     assert c.near_pairs(df.limit(0)).count() == 0
+    items = sorted(((r.vec_id, r.class_id, r.links) for r in c.near_classes(df).collect()), key=str)
+    assert items == sorted([(1, 1, 3), (2, 1, 3), (3, 1, 3), (12, 1, 3), (12, 12, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (None, None, 0), (10, 10, 1), (11, 10, 1)], key=str)
+    assert c.near_classes(df.limit(0)).count() == 0
