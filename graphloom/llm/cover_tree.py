@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import local_roots, table
 from graphloom.operators.blocks import as_bytes, matrix
 from graphloom.operators.community import star_roots
 from graphloom.storage import materialise
@@ -174,20 +174,6 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, tx: list, ty: list, reach: floa
             return
 
 
-def local_roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the sets of nodes i and j, pair by pair; ``label`` leads every node to the least node of its set."""
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            further = label[label]
-            if (further == label).all():
-                break
-            label[:] = further
-
-
 def _usable(v: Column) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
 

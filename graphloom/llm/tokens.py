@@ -102,3 +102,25 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[Slice]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         yield tokenise(data[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
+
+
+def binary_rows(flat: np.ndarray, sizes: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A binary column over one array: row k holds the next sizes[k] items; NULL where it isn't valid."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+    mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 2**31 else (pa.large_binary(), np.int64)
+    out = pa.Array.from_buffers(kind, len(sizes), [mask, pa.py_buffer(ends.astype(width).tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+    return out
+
+
+def flat_rows(column: pa.Array, dtype=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(items, ends) of a binary column without NULLs: row k holds items[ends[k]:ends[k + 1]]."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, dtype), np.zeros(1, np.int64)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    items = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if data is not None and ends[-1] > ends[0] else np.zeros(0, dtype)
+    return items, (ends - ends[0]) // np.dtype(dtype).itemsize

@@ -20,6 +20,7 @@ def brute(docs, least):
     lines = [(i, k, line.split()) for i, t in docs for k, line in enumerate((t or "").split("\n"))]
     long = [x for x in lines if len(x[2]) >= least]
     gone = {y[:2] for n, y in enumerate(long) if any(distance(x[2], y[2]) <= 1 for x in long[:n])}
+    gone |= {y[:2] for n, y in enumerate(lines) if y[2] and any(x[2] == y[2] for x in lines[:n])}
     out = {}
     for i, t in docs:
         kept = [line for k, line in enumerate((t or "").split("\n")) if (i, k) not in gone]
@@ -55,12 +56,57 @@ def test_against_brute_force(spark):
         assert {r.doc_id: r.text for r in d.without_repeats(df, min_words=4).collect()} == brute(docs, 4)
 
 
-def test_word_distance():
+def test_shared_halves_are_joined_where_they_are_too_many_for_a_bitmap(spark, monkeypatch):
+    rng = random.Random(7)
+    pool = [sentence(rng, rng.randint(3, 14)).split() for _ in range(30)]
+    while len(pool) < 90:
+        pool.append(mutate(rng, rng.choice(pool)))
+    docs = [(k, "\n".join(" ".join(rng.choice(pool)) for _ in range(rng.randint(0, 6)))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(d, "MOST_SHARED", 1)
+    assert {r.doc_id: r.text for r in d.without_repeats(df, min_words=4).collect()} == brute(docs, 4)
+
+
+def _flat(lines):
+    return np.array([w for x in lines for w in x], np.uint64), np.cumsum([0] + [len(x) for x in lines])
+
+
+def test_one_edit():
     rng = random.Random(2)
-    for _ in range(2000):
-        a = np.array([rng.randrange(3) for _ in range(rng.randint(1, 6))], np.uint64)
-        b = np.array([rng.randrange(3) for _ in range(rng.randint(1, 6))], np.uint64)
-        assert d.word_distance(a, b) == min(2, distance(a.tolist(), b.tolist()))
+    pairs = [([rng.randrange(3) for _ in range(rng.randint(0, 6))], [rng.randrange(3) for _ in range(rng.randint(0, 6))]) for _ in range(3000)]
+    got = d.within_one(*_flat([a for a, _ in pairs]), *_flat([b for _, b in pairs]))
+    assert got.tolist() == [distance(a, b) <= 1 for a, b in pairs]
+
+
+def test_variants_meet_if_and_only_if_a_deletion_makes_them_equal():
+    rng = random.Random(3)
+    lines = [[rng.randrange(3) for _ in range(rng.randint(2, 5))] for _ in range(150)]
+    keys, roles, of = d.variants(*_flat(lines))
+    have = [{(k, r) for k, r in zip(keys[of == x].tolist(), roles[of == x].tolist(), strict=True)} for x in range(len(lines))]
+    without = lambda x: {tuple(x[:i] + x[i + 1 :]) for i in range(len(x))}
+    for a, x in enumerate(lines):
+        for b, y in enumerate(lines[:a]):
+            replaced = len(x) == len(y) and any(x[:i] + x[i + 1 :] == y[:i] + y[i + 1 :] for i in range(len(x)))
+            assert bool({k for k in have[a] & have[b] if k[1] == 0}) == replaced
+            assert bool({k for k, r in have[a] if r == 1} & {k for k, r in have[b] if r == 2}) == (tuple(y) in without(x))
+
+
+def test_near_copies_are_left_whole_for_near_dedup(spark):
+    lines = [sentence(random.Random(k), 12) for k in range(10)]
+    copy = lines[:8] + [sentence(random.Random(90), 12), sentence(random.Random(91), 12)]
+    excerpt = [sentence(random.Random(100 + k), 12) for k in range(20)] + lines[:3]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*copy, copy[0]])), (3, "\n".join(excerpt))], "doc_id bigint, text string")
+    got = {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs, copies=0.4).collect()}
+    assert got == {1: lines, 2: [*copy, copy[0]], 3: excerpt[:20]}
+    assert {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs).collect()}[2] == copy[8:]
+    twice = spark.createDataFrame([(5, "a b\na b\nc d")], "doc_id bigint, text string")
+    assert [r.text for r in d.without_repeats(twice, copies=0.1).collect()] == ["a b\nc d"]
+
+
+def test_text_ids_and_own_names(spark):
+    docs = spark.createDataFrame([("b", "x y z", 1, 2), ("a", "x y z\nw", 3, 4)], "doc_id string, text string, _line_key int, _key int")
+    out = d.without_repeats(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [("a", "x y z\nw", 3, 4)]
 
 
 def test_awkward_documents(spark):

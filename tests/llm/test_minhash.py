@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tests.llm.helpers import awkward, clashing, empty, sentence
 
 from graphloom.llm import minhash, tokens
@@ -73,6 +74,43 @@ def test_all_pairs_and_their_groups(spark):
         assert {(r.doc_id_a, r.doc_id_b) for r in minhash.near_pairs(docs).collect()} == groups(wanted)
 
 
+@pytest.mark.parametrize(("small", "block"), [(32, 1024), (2, 3)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, small, block):
+    """Also with limits so low that groups meet in several blocks."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = corpus(3, 80)
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + k, t) for k, t in enumerate(texts[:20])), (0, texts[0])], "doc_id bigint, text string")
+    pairs = brute_pairs(docs.toPandas())
+    degree = {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    got = {(r.doc_id_a, r.doc_id_b): (r.links_a, r.links_b) for r in minhash.near_links(docs).collect()}
+    assert set(got) == groups(pairs)
+    assert all(n == (degree[a], degree[b]) for (a, b), n in got.items())
+
+
+def test_the_query_gives_the_groups_of_all_pairs(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    pairs = brute_pairs(docs.toPandas())
+    got = {(r.doc_id_a, r.doc_id_b) for r in minhash.op4_multi_index_minhash(spark, data).collect()}
+    assert got == groups(pairs) and got
+
+
+def test_a_threshold_that_would_lose_pairs_is_refused(spark):
+    with pytest.raises(ValueError):
+        minhash.near_groups(empty(spark), limit=60)
+    with pytest.raises(ValueError):
+        minhash.hamming_pairs(empty(spark), limit=32)
+
+
+def test_text_ids_and_own_names(spark):
+    docs = spark.createDataFrame([("b1", "one two three four five", 1, 2), ("a1", "one two three four five", 3, 4)], "doc_id string, text string, _near_id int, root int")
+    assert [tuple(r) for r in minhash.near_links(docs).collect()] == [("a1", "b1", 1, 1)]
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and [(r.doc_id, r["_near_id"]) for r in kept.collect()] == [("a1", 3)]
+
+
 def test_recall_of_near_copies(spark):
     rng = random.Random(9)
     docs = []
@@ -105,5 +143,6 @@ def test_a_large_group_of_equal_documents(spark):
 
 def test_empty(spark):
     assert minhash.near_pairs(empty(spark)).count() == 0
+    assert minhash.near_links(empty(spark)).count() == 0
     assert minhash.hamming_pairs(empty(spark)).count() == 0
     assert minhash.keep_one(empty(spark)).count() == 0
