@@ -266,11 +266,14 @@ def _verified(candidates: DataFrame) -> DataFrame:
     """(y, x, n): each candidate that is one edit from an earlier one, that one, and the words of y."""
     pos = F.struct(*POS)
     emitted = candidates.repartition("th", "line").mapInArrow(_emit, f"key bigint, role tinyint, {_pos_schema(candidates)}")
-    kept = [F.min(F.when(F.col("role") == r, pos)).alias(f"r{r}") for r in range(3)]
-    # a key that one line has alone, or that only lines without any one word have, connects nothing
-    groups = emitted.groupBy("key").agg(*kept, F.count("*").alias("c")).filter("c > 1 AND (r0 IS NOT NULL OR (r1 IS NOT NULL AND r2 IS NOT NULL))").drop("c")
+    # most variants are nobody else's: keys alone tell which are shared, so that only those carry positions further. A key
+    # connects lines that lost a word at one place (role 0), or one that lost any word (1) with a whole one (2)
+    meets = "c > 1 AND ((roles & 1) = 1 OR (roles & 6) = 6)"
+    shared = emitted.groupBy("key").agg(F.count("*").alias("c"), F.bit_or(F.expr("shiftleft(1, cast(role AS int))")).alias("roles")).filter(meets).select("key")
+    kept = materialise(emitted.join(materialise(shared, "shared-variants"), "key", "left_semi"), "variants")
+    groups = kept.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, pos)).alias(f"r{r}") for r in range(3)])
     witness = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
-    pairs = emitted.join(groups, "key").select(pos.alias("y"), witness.alias("x")).filter("x < y").distinct()
+    pairs = kept.join(groups, "key").select(pos.alias("y"), witness.alias("x")).filter("x < y").distinct()
     mine = candidates.select(F.struct(*POS).alias("my"), F.col("words").alias("w_y"))
     theirs = candidates.select(F.struct(*POS).alias("tx"), F.col("words").alias("w_x"))
     # ids may be NULL, so equality is null-safe
