@@ -8,8 +8,8 @@ on (``EQUAL_WORDS``), while one edit of a short line is often another line: that
 1. Equal lines meet by a 128-bit hash; all but the first occurrence go. Shorter lines take part in this step only.
 2. A line within one edit of another shares one of its halves with it, so a first occurrence none of whose
    halves (for its own length and for one word less) is shared has no partner. The shared halves are broadcast as a
-   bitmap while there are at most ``MOST_SHARED`` of them, a byte each; beyond, they are joined. Both are exact: what a
-   bitmap lets through in vain costs time, never results.
+   bitmap while there are at most ``MOST_SHARED`` of them, 32 bits or more each; beyond, they are joined. Both are exact:
+   what a bitmap lets through in vain costs time, never results.
 3. Each remaining line emits every variant with one word deleted as a hashed key; equal variants meet.
    Lines that lost the word at the same place are one replacement apart; a line that equals a variant of
    another is one word shorter. Of each group only the earliest is taken as the witness of the others; it is found by
@@ -40,7 +40,8 @@ from graphloom.storage import materialise
 
 MIN_WORDS = 8
 EQUAL_WORDS = 1
-MOST_SHARED = 1 << 27
+MOST_SHARED = 1 << 25
+LEAST_BITS = 27
 
 _P1, _P2 = _POWER, mix64(_POWER)
 _HALVES = np.uint64(0x5851F42D4C957F2D)
@@ -233,7 +234,7 @@ def _emit(batches, most: int = 100_000):
 
 
 def _bitmap(shared: DataFrame, bits: int) -> bytes:
-    """One bit for each shared half: 2 ** bits in all, of which an eighth is set at most."""
+    """One bit for each shared half: 2 ** bits in all, of which one in 32 is set at most."""
     word = shared.select(F.expr(f"cast(shiftrightunsigned(key, {64 - bits + 6}) as int)").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("b"))
     got = word.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
@@ -250,7 +251,7 @@ def _candidates(rows: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame
     count = shared.count()
     schema = f"{_pos_schema(rows)}, h1 bigint, h2 bigint, words binary"
     if count <= MOST_SHARED:
-        bits = max(16, (8 * count).bit_length())
+        bits = max(LEAST_BITS, (32 * count).bit_length())
         possible = rows.mapInArrow(_possible_lines(rows.sparkSession.sparkContext.broadcast(_bitmap(shared, bits)), bits, min_words), schema)
     else:
         placed = rows.mapInArrow(_half_keys(min_words, True), f"{_pos_schema(rows)}, key bigint")
