@@ -56,9 +56,9 @@ class Lines:
 
     def __init__(self, s: Slice, min_words: int):
         self.h = s.hashes
-        breaks = np.cumsum(s.buf == 10)
-        before = np.concatenate([[0], breaks])[s.offsets[:-1]]
-        line = breaks[s.starts] - before[s.doc]
+        breaks = np.flatnonzero(s.buf == 10)
+        ahead = np.searchsorted(s.starts, breaks)
+        line = np.cumsum(np.bincount(ahead, minlength=len(s.starts) + 1)[: len(s.starts)]) - np.searchsorted(breaks, s.offsets[:-1])[s.doc]
         new = np.ones(len(self.h), bool)
         new[1:] = (s.doc[1:] != s.doc[:-1]) | (line[1:] != line[:-1])
         first = np.flatnonzero(new)

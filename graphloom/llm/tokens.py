@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer document is a slice of its own, never cut.
-SLICE = 2 << 20
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -26,9 +26,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 @dataclass
@@ -65,12 +68,36 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+_STEP = 0x9E3779B97F4A7C15
+_UNSTEP = pow(_STEP, -1, 1 << 64)
+
+
+def _run(step: int, n: int) -> np.ndarray:
+    """Powers 0 to n of an odd number modulo 2^64."""
+    out = np.full(n + 1, step, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_known = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse; those that a slice needs are kept."""
+    global _known
+    if n > SLICE:
+        return _run(_STEP, n), _run(_UNSTEP, n)
+    if not len(_known[0]):
+        _known = _run(_STEP, SLICE), _run(_UNSTEP, SLICE)
+    return _known
+
+
 def tokenise(buf: np.ndarray, offsets: np.ndarray, first: int = 0) -> Slice:
     space = _SPACE[buf]
     fresh = np.empty(len(buf), bool)
     fresh[1:] = space[:-1]
     fresh[offsets[:-1][offsets[:-1] < len(buf)]] = True
-    start = ~space & fresh
+    start = fresh & ~space
     if len(buf) and buf.max() >= 0xE3:
         follow = (buf & 0xC0) == 0x80
         lead = np.maximum.accumulate(np.where(follow, 0, np.arange(len(buf))))
@@ -82,16 +109,18 @@ def tokenise(buf: np.ndarray, offsets: np.ndarray, first: int = 0) -> Slice:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Slice(first, offsets, buf, space, none, none, none, np.zeros(0, np.uint64))
-    token = np.cumsum(start) - 1
-    pos = (np.arange(len(buf)) - starts[np.maximum(token, 0)]) & 0xFFFF
-    value = _BYTE[buf] * _POWER[pos]
-    value[space] = 0
-    if len(offsets) > 2:
-        value[: starts[0]] = 0
-    hashes = mix64(np.add.reduceat(value, starts))
-    lengths = np.add.reduceat((~space).astype(np.int32), starts)
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    return Slice(first, offsets, buf, space, starts, starts + lengths, doc, hashes)
+    last = ~space
+    last[:-1] &= space[1:] | start[1:]
+    ends = np.flatnonzero(last) + 1
+    # a token's hash is a sum over its bytes of value times base to the place in the token: a difference of running sums
+    # over places in the slice, shifted back
+    up, down = _powers(len(buf))
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * down[starts])
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return Slice(first, offsets, buf, space, starts, ends, doc, hashes)
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[Slice]:
