@@ -41,6 +41,8 @@ class EdgeFrame(_Frame):
     source: DataFrame | Callable[[], DataFrame]
     src_label: str | None = None
     dst_label: str | None = None
+    #: where each edge stands in the row of one of its nodes: which end, the edges with that node's properties, and its frame
+    host: tuple[str, Callable[[], DataFrame], NodeFrame] | None = None
 
     @property
     def props(self) -> list[str]:
@@ -91,6 +93,12 @@ class Graph:
         """src and the sorted distinct targets of its edges."""
         return self.all_edges().groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("targets"))
 
+    def has_edge(self, pairs: DataFrame, kind: str | None = None) -> DataFrame:
+        """(src, dst, found): whether there is an edge, of a type if one is given, for each of the pairs (src, dst)."""
+        edges = self.all_edges() if kind is None else self.edges[kind].df
+        there = edges.select("src", "dst").distinct().withColumn("found", F.lit(True))
+        return pairs.join(there, ["src", "dst"], "left").select("src", "dst", F.coalesce("found", F.lit(False)).alias("found"))
+
     def ports_between(self) -> DataFrame:
         return self.all_edges().groupBy("src", "dst", "type").agg(F.sort_array(F.collect_list("port")).alias("ports"))
 

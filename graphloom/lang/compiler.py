@@ -53,6 +53,22 @@ class State:
         return [s.name]
 
 
+@dataclass
+class Edges:
+    """from, to, eid, type, port and properties of edges; the labels that their ends are sure to have, None where the
+    edges don't tell; and the properties of the ends that stand beside them as ``from@`` and ``to@``, None if none do."""
+
+    df: DataFrame
+    props: frozenset[str] = frozenset()
+    near: frozenset[str] | None = None
+    far: frozenset[str] | None = None
+    near_props: frozenset[str] | None = None
+    far_props: frozenset[str] | None = None
+
+    def named(self, var: str) -> DataFrame:
+        return self.df.select(*[F.col(f"`{c}`").alias(f"{var}__{c}") for c in self.df.columns])
+
+
 def conjuncts(e: Any) -> list:
     if e is None:
         return []
@@ -170,20 +186,29 @@ class Compiler:
         return st
 
     def edge_first(self, st: State, source: ast.NodePattern, r: ast.RelPattern, target: ast.NodePattern, pending: list) -> State | None:
-        """Where nothing of the first node but its id is needed and its label follows from the edges, they are
-        the scan: its frame isn't read at all."""
-        if source.var in st.scope or target.var in st.scope or source.var == target.var or r.hops is not None or source.props or self.shards is not None or self.used.get(source.var, set()) - {"label"}:
+        """Where nothing of the first node but its id is needed, or what is needed stands in the edges' own rows, and its
+        label follows from the edges, they are the scan: its frame isn't read at all."""
+        if source.var in st.scope or target.var in st.scope or source.var == target.var or r.hops is not None or self.shards is not None:
+            return None
+        wanted = self.wanted(source)
+        e = self.edge_frame(r, self.labels_of(source.label), self.labels_of(target.label), wanted, self.wanted(target))
+        if e.near is None or len(e.near) != 1 or source.label not in (None, *e.near) or (wanted and e.near_props is None):
             return None
-        edges, props, near, far = self.edge_frame(r, self.labels_of(source.label), self.labels_of(target.label))
-        if near is None or len(near) != 1 or source.label not in (None, *near):
+        df = e.named(r.var).withColumn(f"{source.var}__id", col(f"{r.var}__from")).withColumn(f"{source.var}__label", F.lit(next(iter(e.near))))
+        own = e.near_props or frozenset()
+        df = df.withColumnsRenamed({f"{r.var}__from@{p}": f"{source.var}__{p}" for p in own})
+        out = State(df if st.empty else st.df.crossJoin(df), {**st.scope, source.var: Sym("node", source.var, e.near, own), r.var: Sym("edge", r.var, props=e.props)})
+        out = self.inline(self.inline(out, r.var, r.props), source.var, source.props) if not any(ast.free_names(v) - out.scope.keys() for v in source.props.values()) else None
+        if out is None:
             return None
-        e = edges.select(*[F.col(f"`{c}`").alias(f"{r.var}__{c}") for c in edges.columns])
-        e = e.withColumn(f"{source.var}__id", col(f"{r.var}__from")).withColumn(f"{source.var}__label", F.lit(next(iter(near))))
-        out = State(e if st.empty else st.df.crossJoin(e), {**st.scope, source.var: Sym("node", source.var, near), r.var: Sym("edge", r.var, props=props)})
-        out = self.filters(self.inline(out, r.var, r.props), pending)
-        out = self.reach(out, target, col(f"{r.var}__to"), far)
+        out = self.filters(out, pending)
+        out = self.reach(out, target, col(f"{r.var}__to"), e.far, {p: f"{r.var}__to@{p}" for p in e.far_props} if e.far_props is not None else None)
         return self.filters(replace(out, df=out.df.drop(f"{r.var}__from", f"{r.var}__to")), pending)
 
+    def wanted(self, n: ast.NodePattern) -> set[str]:
+        """The properties that a node is asked for."""
+        return (self.used.get(n.var, set()) | set(n.props)) - {"label"}
+
     def _selective(self, n: ast.NodePattern, pending: list) -> bool:
         return bool(n.props) or any(e[0] == "cmp" and e[1] == "=" and ast.free_names(e) == {n.var} for e in pending)
 
@@ -238,58 +263,68 @@ class Compiler:
             st = replace(st, df=st.df.filter(self.test(("cmp", "=", ("prop", ("var", var), key), value), st)))
         return st
 
-    def edge_frame(self, r: ast.RelPattern, source: frozenset[str] | None, target: frozenset[str] | None) -> tuple[DataFrame, frozenset[str], frozenset[str] | None, frozenset[str] | None]:
-        """from, to, eid, type, port and the wanted properties of the edges that fit, and the labels that their ends
-        are sure to have, None where the edges don't tell."""
+    def edge_frame(self, r: ast.RelPattern, source: frozenset[str] | None, target: frozenset[str] | None, near_want: set[str] = frozenset(), far_want: set[str] = frozenset()) -> Edges:
+        """The edges that fit. What is wanted of a node comes with them if they are all of one type whose rows are that
+        node's own rows, so that its table need not be joined with itself."""
         want = self.used.get(r.var, set()) | set(r.props)
-        parts, have, near, far = [], set(), set(), set()
+        fitting = []
         for kind, frame in self.graph.edges.items():
             if r.types and kind not in r.types:
                 continue
-            ways = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[r.direction]
-            for a, b in ways:
+            for a, b in {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[r.direction]:
                 la, lb = (frame.src_label, frame.dst_label) if a == "src" else (frame.dst_label, frame.src_label)
-                if (source and la and la not in source) or (target and lb and lb not in target):
-                    continue
-                df, props = frame.df, [p for p in frame.props if p in want]
-                if r.direction == "both" and a == "dst":
-                    df = df.filter("src <> dst")
-                if r.port is not None:
-                    df = df.filter(F.col("port") == r.port)
-                parts.append(df.select(F.col(a).alias("from"), F.col(b).alias("to"), "eid", F.lit(kind).alias("type"), "port", *[F.col(f"`{p}`") for p in props]))
-                have |= set(props)
-                near.add(la)
-                far.add(lb)
-        if not parts:
+                if not ((source and la and la not in source) or (target and lb and lb not in target)):
+                    fitting.append((kind, frame, a, b, la, lb))
+        if not fitting:
             none = self.graph.spark.range(0)
-            return none.select(*[F.col("id").alias(c) for c in ("from", "to", "eid")], F.lit("").alias("type"), F.lit(0).alias("port")), frozenset(), None, None
+            return Edges(none.select(*[F.col("id").alias(c) for c in ("from", "to", "eid")], F.lit("").alias("type"), F.lit(0).alias("port")))
+        parts, have = [], set()
+        hosted: dict[str, frozenset[str]] = {}
+        for kind, frame, a, b, la, lb in fitting:
+            df, props = frame.df, [p for p in frame.props if p in want]
+            if len(fitting) == 1 and frame.host is not None:
+                end, row, owner = frame.host
+                side, label, asked = ("from", la, near_want) if end == a else ("to", lb, far_want)
+                if asked and "__cluster" not in asked and owner is self.graph.nodes.get(label) and self.shards is None:
+                    df, hosted[side] = row(), frozenset(p for p in {*asked, owner.key} if p in owner.df.columns)
+            if r.direction == "both" and a == "dst":
+                df = df.filter("src <> dst")
+            if r.port is not None:
+                df = df.filter(F.col("port") == r.port)
+            beside = [F.col(f"`{p}`").alias(f"{side}@{p}") for side, names in hosted.items() for p in sorted(names)]
+            parts.append(df.select(F.col(a).alias("from"), F.col(b).alias("to"), "eid", F.lit(kind).alias("type"), "port", *[F.col(f"`{p}`") for p in props], *beside))
+            have |= set(props)
         labels = lambda found: None if None in found else frozenset(found)
-        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), frozenset(have), labels(near), labels(far)
+        union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        return Edges(union, frozenset(have), labels({f[4] for f in fitting}), labels({f[5] for f in fitting}), hosted.get("from"), hosted.get("to"))
 
     def expand(self, st: State, source: ast.NodePattern, r: ast.RelPattern, target: ast.NodePattern, pending: list) -> State:
         s = st.scope[source.var]
         bound = target.var in st.scope
         known = st.scope[target.var].labels if bound else self.labels_of(target.label)
-        edges, props, _, far = self.edge_frame(r, s.labels, known)
-        e = edges.select(*[F.col(f"`{c}`").alias(f"{r.var}__{c}") for c in edges.columns])
+        e = self.edge_frame(r, s.labels, known, far_want=set() if bound else self.wanted(target))
         on = col(f"{s.name}__id") == col(f"{r.var}__from")
         if bound:
             on = on & (col(f"{r.var}__to") == col(f"{st.scope[target.var].name}__id"))
-        out = State(st.df.join(e, on), {**st.scope, r.var: Sym("edge", r.var, props=props)})
+        out = State(st.df.join(e.named(r.var), on), {**st.scope, r.var: Sym("edge", r.var, props=e.props)})
         out = self.inline(out, r.var, r.props)
         if bound:
             out = self.bound_node(out, target)
         else:
-            out = self.reach(out, target, col(f"{r.var}__to"), far)
+            out = self.reach(out, target, col(f"{r.var}__to"), e.far, {p: f"{r.var}__to@{p}" for p in e.far_props} if e.far_props is not None else None)
         out = replace(out, df=out.df.drop(f"{r.var}__from", f"{r.var}__to"))
         return self.filters(out, pending)
 
-    def reach(self, st: State, n: ast.NodePattern, at: Column, sure: frozenset[str] | None) -> State:
+    def reach(self, st: State, n: ast.NodePattern, at: Column, sure: frozenset[str] | None, there: dict[str, str] | None = None) -> State:
         """Binds a node that an edge leads to; ``sure`` are the labels that the edge vouches for. The node's frame
-        is joined only if something of it is needed, its label included."""
+        is joined only if something of it is needed, its label included, and not ``there`` already: its properties, and
+        the columns that hold them."""
         wanted = self.used.get(n.var, set()) | set(n.props)
         one = next(iter(sure)) if sure and len(sure) == 1 and n.label in (None, *sure) else None
         labels = self.labels_of(n.label) or sure
+        if there is not None and one is not None:
+            df = st.df.withColumnsRenamed({c: f"{n.var}__{p}" for p, c in there.items()}).withColumn(f"{n.var}__id", at).withColumn(f"{n.var}__label", F.lit(one))
+            return self.inline(State(df, {**st.scope, n.var: Sym("node", n.var, sure, frozenset(there))}), n.var, n.props)
         if not (wanted - {"label"}) and one is not None and self.shards is None:
             st = State(st.df.withColumn(f"{n.var}__id", at).withColumn(f"{n.var}__label", F.lit(one)), {**st.scope, n.var: Sym("node", n.var, sure)})
         else:
@@ -317,7 +352,8 @@ class Compiler:
     def hops(self, st: State, source, r, target, pending) -> tuple[State, Column]:
         low, high = r.hops
         s = st.scope[source.var]
-        edges, _, _, far = self.edge_frame(r, None, None)
+        e = self.edge_frame(r, None, None)
+        edges, far = e.df, e.far
         found = paths.variable_length(self._starts(st, source), edges, max(low or 1, 1), high)
         if low == 0:
             zero = self._starts(st, source).select("start", F.col("start").alias("end"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("eids"))
@@ -329,7 +365,8 @@ class Compiler:
 
     def shortest(self, st: State, source, r, target, pending, every: bool) -> tuple[State, Column]:
         high = 1 if r.hops is None else r.hops[1]
-        edges, _, _, far = self.edge_frame(r, None, None)
+        e = self.edge_frame(r, None, None)
+        edges, far = e.df, e.far
         starts = self._starts(st, source)
         var = f"_p{next(self.fresh)}"
         if target.var in st.scope:

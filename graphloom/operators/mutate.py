@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.graph import EdgeFrame, Graph, NodeFrame
 from graphloom.lang import ast
@@ -14,6 +15,21 @@ from graphloom.lang.lexer import QueryError
 from graphloom.storage import materialise
 
 
+#: The property whose vectors are searched.
+VECTOR = "embedding"
+
+
+def settled(graph: Graph, before: Graph) -> Graph:
+    """The graph with the frames that differ from an earlier version's written to the shared folder."""
+    for label, frame in graph.nodes.items():
+        if frame is not before.nodes.get(label):
+            graph = graph.with_nodes(label, NodeFrame(materialise(frame.df, "nodes"), frame.key, frame.offset))
+    for kind, edge in graph.edges.items():
+        if edge is not before.edges.get(kind):
+            graph = graph.with_edges(kind, EdgeFrame(materialise(edge.df, "edges"), edge.src_label, edge.dst_label))
+    return graph
+
+
 def _next_id(graph: Graph, label: str) -> DataFrame:
     """One row with the first free id: of the label's own range if it has one, else of the graph."""
     frame = graph.nodes.get(label)
@@ -58,8 +74,13 @@ def _one_label(s: Sym) -> str | None:
 class Writer:
     """Runs the clauses of a writing statement one after the other over the bindings."""
 
-    def __init__(self, graph: Graph, params: dict[str, Any] | None, query: ast.Query):
-        self.graph, self.params, self.query = graph, params, query
+    def __init__(self, graph: Graph, params: dict[str, Any] | None, query: ast.Query, dimension: int | None = None):
+        self.graph, self.params, self.query, self.dimension = graph, params, query, dimension
+
+    def fits(self, rows: DataFrame, column: str) -> None:
+        """Vectors that are written must have the dimension that was set, if one was."""
+        if self.dimension is not None and isinstance(rows.schema[column].dataType, T.ArrayType) and not rows.filter(F.size(col(column)) != self.dimension).isEmpty():
+            raise QueryError(f"a vector has {self.dimension} parts here")
 
     def compiler(self) -> Compiler:
         return Compiler(self.graph, self.params, self.query)
@@ -112,6 +133,8 @@ class Writer:
         own = own.crossJoin(_next_id(self.graph, label)).withColumn(f"{n.var}__id", F.col("_base") + F.col("_nth")).drop("_base", "_nth").withColumn(f"{n.var}__label", F.lit(label))
         # written, as the bindings and the graph must see the same ids
         kept = materialise(own, "created")
+        if VECTOR in props:
+            self.fits(kept, f"{n.var}__{VECTOR}")
         rows = kept.select(col(f"{n.var}__id").alias("id"), *[col(f"{n.var}__{k}").alias(k) for k in props])
         self.graph = add_nodes(self.graph, label, rows)
         return State(kept, {**st.scope, n.var: Sym("node", n.var, frozenset([label]), frozenset(props))})
@@ -195,6 +218,8 @@ class Writer:
             # a row expression that differs between matches of one node: the largest value counts
             new = st.df.select(col(f"{s.name}__{key}").alias("_id"), *[comp.column(v, st).alias(f"_v_{p}") for p, v in changes]).filter("_id IS NOT NULL").groupBy("_id").agg(*[F.max(col(f"_v_{p}")).alias(f"_v_{p}") for p, _ in changes])
             new = materialise(new, "set")
+            if s.kind == "node" and VECTOR in dict(changes):
+                self.fits(new, f"_v_{VECTOR}")
             frames = self.graph.nodes if s.kind == "node" else self.graph.edges
             names = [x for x in frames if s.labels is None or s.kind == "edge" or x in s.labels]
             for name in names:

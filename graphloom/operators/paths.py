@@ -11,6 +11,8 @@ from graphloom.storage import materialise
 
 #: Up to so many hops the whole chain is one plan; beyond, each hop is written and an empty frontier ends it.
 UNROLLED = 4
+#: Up to so many paths at the frontier several hops are written at once.
+FEW = 10_000
 #: A search between two nodes goes on from both ends in the driver while its frontiers stay below this.
 NARROW = 20_000
 
@@ -27,16 +29,26 @@ def variable_length(starts: DataFrame, edges: DataFrame, low: int, high: int | N
     """
     steps = _steps(edges)
     front = starts.select(F.col("start"), F.col("start").alias("end"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("eids"))
-    found, hop = [], 0
+    found, hop, few = [], 0, False
     while high is None or hop < high:
-        hop += 1
-        joined = front.join(steps, F.col("end") == F.col("_from")).filter(~F.array_contains("path", F.col("_to")))
-        front = joined.select("start", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path"), F.concat("eids", F.array("_eid")).alias("eids"))
+        # a table holds one hop, or several where the frontier is small and a write costs more than the joins
+        todo = UNROLLED if few else 1
+        todo = todo if high is None else min(todo, high - hop)
+        levels = []
+        for _ in range(todo):
+            joined = front.join(steps, F.col("end") == F.col("_from")).filter(~F.array_contains("path", F.col("_to")))
+            front = joined.select("start", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path"), F.concat("eids", F.array("_eid")).alias("eids"))
+            hop += 1
+            levels.append(front.withColumn("_hop", F.lit(hop)))
         if high is None or high > UNROLLED:
-            front = materialise(front, "paths")
-            if front.isEmpty():
+            table = materialise(reduce(DataFrame.unionByName, levels), "paths")
+            front = table.filter(F.col("_hop") == hop).drop("_hop")
+            found.append(table.filter(F.col("_hop") >= low).drop("_hop"))
+            size = front.limit(FEW + 1).count()
+            if not size:
                 break
-        if hop >= low:
+            few = size <= FEW
+        elif hop >= low:
             found.append(front)
     return reduce(DataFrame.unionByName, found) if found else front.filter(F.lit(False))
 

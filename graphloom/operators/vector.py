@@ -50,6 +50,9 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         for d in range(q.shape[1]):
             out += (q[:, d : d + 1] - x[None, :, d]) ** 2
         return -np.sqrt(out)
+    if metric == "hamming":
+        a, b = np.where(q >= 0, 1.0, -1.0), np.where(x >= 0, 1.0, -1.0)
+        return (a @ b.T - q.shape[1]) / 2
     raise ValueError(f"unknown metric {metric}")
 
 
@@ -58,11 +61,11 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosi
 
     Queries and vectors meet in blocks: a block of queries and one of vectors make a matrix product, of which the k
     best of each query go on. So what is shuffled is blocks times blocks and k rows a query and block, and no
-    pair is ever a row. Vectors of another dimension are not compared.
+    pair is ever a row. Vectors of another dimension are not compared. ``hamming`` compares the signs of the parts.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if metric not in ("cosine", "dot", "dot_product", "euclid", "euclidean", "l2"):
+    if metric not in ("cosine", "dot", "dot_product", "euclid", "euclidean", "l2", "hamming"):
         raise ValueError(f"unknown metric {metric}")
     q = materialise(blocked(queries).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), "query-blocks")
     x = materialise(blocked(vectors), "vector-blocks")

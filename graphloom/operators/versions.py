@@ -6,10 +6,15 @@ create_node, create_edge, set, delete_node, delete_edge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.graph import EdgeFrame, Graph, NodeFrame
+
 LOG_SCHEMA = "tx_id bigint, ts timestamp_ntz, op string, id bigint, label string, key string, value string, src bigint, dst bigint"
 
 
@@ -62,3 +67,69 @@ def vacuum(log: DataFrame, keep_from: int) -> DataFrame:
     later = F.lead("tx_id").over(W.partitionBy("id", "key").orderBy("tx_id"))
     sets = log.filter("op = 'set'").withColumn("_next", later).filter(F.col("_next").isNull() | (F.col("_next") > keep_from)).drop("_next")
     return log.filter("op <> 'set'").unionByName(sets)
+
+
+# from graphs to the log, and back
+
+
+def _entry(df: DataFrame, tx: int, when: datetime, op: str, **values: Column) -> DataFrame:
+    kinds = dict(x.strip().rsplit(" ", 1) for x in LOG_SCHEMA.split(","))
+    fixed = {"tx_id": F.lit(tx), "ts": F.lit(when).cast("timestamp_ntz"), "op": F.lit(op)}
+    return df.select(*[(fixed.get(c) if c in fixed else values.get(c, F.lit(None))).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def _properties(df: DataFrame, props: list[str]) -> DataFrame:
+    """(id, key, value) of every property, each value as JSON, so that reading gives back its type."""
+    value = lambda p: F.to_json(F.struct(F.col(f"`{p}`").alias("v")))
+    return df.select("id", F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in props]), F.array(*[value(p) for p in props]))).alias("key", "value")) if props else df.select("id", F.lit("").alias("key"), F.lit("").alias("value")).limit(0)
+
+
+def changes(before: Graph, after: Graph, tx: int, when: datetime) -> DataFrame:
+    """The log entries that lead from one version to the next, with their commit: frames that are the same object are
+    not looked at, the others are compared by hash joins on their ids."""
+    spark = after.spark
+    out = [_entry(spark.range(1), tx, when, "commit")]
+    empty = spark.range(0)
+    for label in {**before.nodes, **after.nodes}:
+        old, new = before.nodes.get(label), after.nodes.get(label)
+        if old is new:
+            continue
+        a, b = (old.df if old else empty), (new.df if new else empty)
+        out.append(_entry(b.join(a.select("id"), "id", "left_anti"), tx, when, "create_node", id=F.col("id"), label=F.lit(label)))
+        out.append(_entry(a.join(b.select("id"), "id", "left_anti"), tx, when, "delete_node", id=F.col("id"), label=F.lit(label)))
+        pa_, pb = _properties(a, old.props if old else []), _properties(b, new.props if new else [])
+        same = pa_.select("id", "key", F.col("value").alias("was"))
+        moved = pb.join(same, ["id", "key"], "left").filter("NOT value <=> coalesce(was, '{}')")
+        out.append(_entry(moved, tx, when, "set", id=F.col("id"), key=F.col("key"), value=F.col("value")))
+    for kind in {**before.edges, **after.edges}:
+        old_e, new_e = before.edges.get(kind), after.edges.get(kind)
+        if old_e is new_e:
+            continue
+        ends = [(e.df.select("src", "dst").distinct() if e else empty.select(F.col("id").alias("src"), F.col("id").alias("dst"))) for e in (old_e, new_e)]
+        for op, a, b in (("create_edge", ends[1], ends[0]), ("delete_edge", ends[0], ends[1])):
+            out.append(_entry(a.join(b, ["src", "dst"], "left_anti"), tx, when, op, label=F.lit(kind), src=F.col("src"), dst=F.col("dst")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def append(path: str, entries: DataFrame) -> None:
+    """One write, so that a transaction's changes and its commit appear together."""
+    entries.write.mode("append").parquet(path)
+
+
+def recover(log: DataFrame, schema: dict[str, str], tx: int | None = None) -> Graph:
+    """The graph after transaction tx, or the last one, with each label's properties read as the given types
+    ("name string, age bigint"). A tail without a commit never took place. Parallel edges of a type are one."""
+    known, values, ends = nodes_at(log, tx), properties_at(log, tx), edges_at(log, tx)
+    graph = Graph(log.sparkSession)
+    for label, types in schema.items():
+        own = known.filter(F.col("label") == label).select("id")
+        fields = [x.strip().split(" ", 1) for x in types.split(",")] if types else []
+        if fields:
+            wide = values.groupBy("id").agg(*[F.max(F.when(F.col("key") == n, F.col("value"))).alias(n) for n, _ in fields])
+            typed = [F.from_json(F.col(f"`{n}`"), f"v {t}").getField("v").alias(n) for n, t in fields]
+            own = own.join(wide, "id", "left").select("id", *typed)
+        graph = graph.with_nodes(label, NodeFrame(own))
+    for r in ends.select("label").distinct().collect():
+        rows = ends.filter(F.col("label") == r.label).select(F.xxhash64("src", "dst").alias("eid"), "src", "dst", F.lit(0).alias("port"))
+        graph = graph.with_edges(r.label, EdgeFrame(rows))
+    return graph

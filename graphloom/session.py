@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
@@ -15,8 +15,12 @@ from graphloom.lang import ast
 from graphloom.lang.compiler import Compiler
 from graphloom.lang.lexer import QueryError
 from graphloom.lang.parser import parse
-from graphloom.operators import fulltext, vector
-from graphloom.operators.mutate import Writer, writes
+from graphloom.operators import fulltext, vector, versions
+from graphloom.operators.mutate import Writer, add_edges, add_nodes, settled, writes
+from graphloom.storage import materialise
+
+#: After so many versions changed frames are written, so that plans do not grow with the number of statements.
+SETTLE = 8
 
 
 @dataclass
@@ -24,7 +28,8 @@ class Index:
     label: str
     props: list[str]
     language: str | None
-    phonetic: bool
+    phonetic: str | None
+    stored: fulltext.TextIndex
 
 
 @dataclass
@@ -38,6 +43,12 @@ class Session:
     pending: list[tuple[ast.Query, dict]] | None = None
     indexes: dict[str, Index] = field(default_factory=dict)
     dimension: int | None = None
+    #: name: (label, property) whose values must be unique
+    constraints: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: a folder to which every version's changes are appended, readable by ``operators.versions`` and ``streaming.log``
+    log: str | None = None
+    #: the last version whose changed frames were written
+    written: Graph | None = None
 
     def run(self, text: str, **params: Any) -> DataFrame | None:
         """What the statement returns; writes give what their RETURN says, or None."""
@@ -83,10 +94,8 @@ class Session:
     def commit(self, statements: list[tuple[ast.Query, dict]]) -> DataFrame | None:
         graph, out = self.graph, None
         for q, params in statements:
-            graph, out = Writer(graph, params, q).run()
-        self.tx += 1
-        self.graph = graph
-        self.versions.append((self.tx, self.clock(), graph))
+            graph, out = Writer(graph, params, q, self.dimension).run()
+        self._keep(graph)
         return out
 
     def record(self, when: datetime) -> None:
@@ -137,12 +146,41 @@ class Session:
         """(id, v) of the nodes that have a vector."""
         return self.graph.node_scan(None, {prop}).select("id", F.col(prop).alias("v")).filter("v IS NOT NULL")
 
-    def _texts(self, name: str) -> DataFrame:
+    def _texts(self, label: str, props: list[str]) -> DataFrame:
+        scan = self.graph.node_scan([label], set(props))
+        return scan.select("id", F.concat_ws(" ", *[F.col(f"`{p}`") for p in props]).alias("text"))
+
+    def index(self, name: str) -> Index:
         if name not in self.indexes:
             raise QueryError(f"no index {name}")
-        i = self.indexes[name]
-        scan = self.graph.node_scan([i.label], set(i.props))
-        return scan.select("id", F.concat_ws(" ", *[F.col(f"`{p}`") for p in i.props]).alias("text"))
+        return self.indexes[name]
+
+    # whole tables in, and out
+
+    def load(self, nodes: dict[str, DataFrame] | None = None, edges: dict[str, DataFrame] | None = None) -> None:
+        """One new version with whole tables added: nodes (id, properties) by label, edges (src, dst, properties) by
+        type, which may also have a port and are numbered on from the largest edge id."""
+        graph = self.graph
+        for label, df in (nodes or {}).items():
+            graph = add_nodes(graph, label, df)
+        for kind, df in (edges or {}).items():
+            rows = df if "port" in df.columns else df.withColumn("port", F.lit(0))
+            graph = add_edges(graph, kind, materialise(rows, "loaded-edges"), (None, None))
+        self._keep(graph)
+
+    def _keep(self, graph: Graph) -> None:
+        """Makes a graph the present version, if it keeps the constraints; logs what has changed, if there is a log."""
+        changed = {n: c for n, c in self.constraints.items() if graph.nodes.get(c[0]) is not self.graph.nodes.get(c[0])}
+        check_unique(graph, changed)
+        when = self.clock()
+        if self.log is not None:
+            versions.append(self.log, versions.changes(self.graph, graph, self.tx + 1, when))
+        self.written = self.written or self.graph
+        if len(self.versions) % SETTLE == SETTLE - 1:
+            graph = self.written = settled(graph, self.written)
+        self.tx += 1
+        self.graph = graph
+        self.versions.append((self.tx, when, graph))
 
 
 def _search(s: Session, v: list[float], metric: str, k: int) -> DataFrame:
@@ -158,38 +196,78 @@ def _vector_init(s: Session, dimension: int) -> DataFrame:
     return s.graph.spark.createDataFrame([(dimension,)], "dimension bigint")
 
 
-def _create_index(s: Session, name: str, label: str, props: list[str] | str, language: str | None = None, phonetic: bool = False) -> DataFrame:
+def _create_index(s: Session, name: str, label: str, props: list[str] | str, language: str | None = None, phonetic: bool | str | None = None) -> DataFrame:
+    """Writes the index; ``phonetic`` is a sound code, or true for soundex."""
     if name in s.indexes:
         raise QueryError(f"index {name} exists")
-    s.indexes[name] = Index(label, [props] if isinstance(props, str) else list(props), language, bool(phonetic))
+    props, sound = [props] if isinstance(props, str) else list(props), "soundex" if phonetic is True else (phonetic or None)
+    stored = fulltext.build_index(s._texts(label, props), language, sound)
+    s.indexes[name] = Index(label, props, language, sound, stored)
     return _indexes(s)
 
 
 def _drop_index(s: Session, name: str) -> DataFrame:
-    if s.indexes.pop(name, None) is None:
-        raise QueryError(f"no index {name}")
+    s.index(name)
+    del s.indexes[name]
+    return _indexes(s)
+
+
+def _rebuild_index(s: Session, name: str) -> DataFrame:
+    """The index over the present graph; writes since it was made become visible to searches."""
+    i = s.index(name)
+    s.indexes[name] = replace(i, stored=fulltext.build_index(s._texts(i.label, i.props), i.language, i.phonetic))
+    return _indexes(s)
+
+
+def _delete_document(s: Session, name: str, node: int) -> DataFrame:
+    i = s.index(name)
+    s.indexes[name] = replace(i, stored=i.stored.delete(s.graph.spark.range(node, node + 1)))
     return _indexes(s)
 
 
 def _indexes(s: Session) -> DataFrame:
-    rows = [(n, i.label, ",".join(i.props), i.language, i.phonetic) for n, i in sorted(s.indexes.items())]
+    rows = [(n, i.label, ",".join(i.props), i.language, i.phonetic is not None) for n, i in sorted(s.indexes.items())]
     return s.graph.spark.createDataFrame(rows, "name string, label string, properties string, language string, phonetic boolean")
 
 
 def _ft_query(s: Session, name: str, query: str, k: int = 10) -> DataFrame:
-    texts = s._texts(name)
-    i = s.indexes[name]
-    return fulltext.search(texts, query, k, fulltext.stop_words(i.language) if i.language else None).withColumnRenamed("id", "node")
+    return fulltext.index_search(s.index(name).stored, query, k).withColumnRenamed("id", "node")
 
 
 def _ft_fuzzy(s: Session, name: str, query: str, k: int = 10, distance: int = 1) -> DataFrame:
-    return fulltext.fuzzy(s._texts(name), query, k, distance).withColumnRenamed("id", "node")
+    return fulltext.index_fuzzy(s.index(name).stored, query, k, distance).withColumnRenamed("id", "node")
 
 
 def _violations(s: Session, label: str, prop: str) -> DataFrame:
     return s.graph.unique_violations(label, prop)
 
 
+def _create_constraint(s: Session, name: str, label: str, prop: str) -> DataFrame:
+    """From now on no two nodes of the label may have one value of the property, NULL included."""
+    if name in s.constraints:
+        raise QueryError(f"constraint {name} exists")
+    check_unique(s.graph, {name: (label, prop)})
+    s.constraints[name] = (label, prop)
+    return _constraints(s)
+
+
+def _drop_constraint(s: Session, name: str) -> DataFrame:
+    if s.constraints.pop(name, None) is None:
+        raise QueryError(f"no constraint {name}")
+    return _constraints(s)
+
+
+def _constraints(s: Session) -> DataFrame:
+    return s.graph.spark.createDataFrame([(n, label, prop) for n, (label, prop) in sorted(s.constraints.items())], "name string, label string, property string")
+
+
+def check_unique(graph: Graph, constraints: dict[str, tuple[str, str]]) -> None:
+    for name, (label, prop) in constraints.items():
+        frame = graph.nodes.get(label)
+        if frame is not None and prop in frame.props and not graph.unique_violations(label, prop).isEmpty():
+            raise QueryError(f"constraint {name}: {label}.{prop} is not unique")
+
+
 PROCEDURES = {
     "search": _search,
     "vectorinit": _vector_init,
@@ -198,5 +276,10 @@ PROCEDURES = {
     "fulltext.fuzzyquery": _ft_fuzzy,
     "fulltext.dropindex": _drop_index,
     "fulltext.indexes": _indexes,
+    "fulltext.rebuild": _rebuild_index,
+    "fulltext.deletedocument": _delete_document,
+    "constraint.create": _create_constraint,
+    "constraint.drop": _drop_constraint,
+    "constraint.list": _constraints,
     "constraint.validate": _violations,
 }

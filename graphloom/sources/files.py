@@ -39,6 +39,29 @@ def graph_csv(spark: SparkSession, nodes: str, edges: str) -> Graph:
     return Graph(spark, nodes_csv(spark, nodes), edges_csv(spark, edges))
 
 
+def graph_json(spark: SparkSession, nodes: str, edges: str) -> Graph:
+    """JSON lines: nodes {"id", "label", properties...}, edges {"source", "target", "type" or "label", properties...}.
+
+    A folder without files gives a graph without nodes or edges. Types are those that the values have.
+    """
+    graph = Graph(spark)
+    df = spark.read.json(nodes)
+    if "id" in df.columns:
+        df = df.withColumn("id", F.col("id").cast("bigint"))
+        label = F.coalesce(F.col("label"), F.lit("")) if "label" in df.columns else F.lit("")
+        df = df.withColumn("_label", label).drop("label")
+        for name in sorted(r[0] for r in df.select("_label").distinct().collect()):
+            graph = graph.with_nodes(name, NodeFrame(df.filter(F.col("_label") == name).drop("_label")))
+    e = spark.read.json(edges)
+    if {"source", "target"} <= set(e.columns):
+        kind = next((c for c in ("type", "label") if c in e.columns), None)
+        props = [c for c in e.columns if c not in ("source", "target", kind)]
+        e = e.select(F.monotonically_increasing_id().alias("eid"), F.col("source").cast("bigint").alias("src"), F.col("target").cast("bigint").alias("dst"), F.lit(0).alias("port"), *props, (F.coalesce(kind, F.lit("")) if kind else F.lit("")).alias("_kind"))
+        for name in sorted(r[0] for r in e.select("_kind").distinct().collect()):
+            graph = graph.with_edges(name, EdgeFrame(e.filter(F.col("_kind") == name).drop("_kind")))
+    return graph
+
+
 def nodes_parquet(spark: SparkSession, path: str, key: str | None = None) -> NodeFrame:
     """All columns are properties. Without a key column rows are numbered, uniquely but with gaps."""
     df = spark.read.parquet(path)

@@ -29,7 +29,10 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
         return F.col(c).cast("bigint") + F.lit(OFFSETS[label])
 
     def edge(name: str, eid: str, a: str, src: str, b: str, dst: str) -> EdgeFrame:
-        return EdgeFrame(lambda: t(name).select(F.col(eid).cast("bigint").alias("eid"), end(a, src).alias("src"), end(b, dst).alias("dst"), F.lit(0).alias("port")), a, b)
+        """Edges that stand in the rows of the node whose key is ``eid``."""
+        ends = lambda: (F.col(eid).cast("bigint").alias("eid"), end(a, src).alias("src"), end(b, dst).alias("dst"), F.lit(0).alias("port"))
+        host = ("src", nodes[a]) if src == eid else ("dst", nodes[b])
+        return EdgeFrame(lambda: t(name).select(*ends()), a, b, (host[0], lambda: t(name).select("*", *ends()), host[1]))
 
     def line(b: str, dst: str, props: list[str]) -> EdgeFrame:
         # line items repeat their key, so the edge id is a hash of all that tells two apart

@@ -65,21 +65,24 @@ def delete_table(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
-def materialise_step(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """Writes what ``make`` gives, then deletes the tables that ``make`` wrote on the way."""
+def _write_step(make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
     inner: list[str] = []
     before = _step.set(inner)
     try:
         made = make()
-        spark = made.sparkSession
     finally:
         _step.reset(before)
-    out = materialise(made, label)
+    out = _write(made, label)
     for path in inner:
-        delete_table(spark, path)
+        delete_table(made.sparkSession, path)
     return out
 
 
+def materialise_step(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Writes what ``make`` gives, then deletes the tables that ``make`` wrote on the way."""
+    return _write_step(make, label)[0]
+
+
 class Rolling:
     """The tables of an iteration, of which each is made from the one before: only the last one is kept."""
 
@@ -87,9 +90,15 @@ class Rolling:
         self.label, self.path = label, None
 
     def keep(self, df: DataFrame) -> DataFrame:
-        out, path = _write(df, self.label)
+        return self._moved(*_write(df, self.label))
+
+    def step(self, make: Callable[[], DataFrame]) -> DataFrame:
+        """The same for what ``make`` gives; what it writes on the way goes, too."""
+        return self._moved(*_write_step(make, self.label))
+
+    def _moved(self, out: DataFrame, path: str) -> DataFrame:
         if self.path:
-            delete_table(df.sparkSession, self.path)
+            delete_table(out.sparkSession, self.path)
         self.path = path
         return out
 

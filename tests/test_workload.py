@@ -28,7 +28,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 def test_query(spark, data, sql, name):
     found = workload.QUERIES[name](spark, data)
     if name not in workload.SQL:
-        assert found.count() >= 0
+        assert found.count() > 0, "held against brute force in test_features and test_communities"
         return
     wanted = sql.sql(workload.SQL[name]).df()
     got = found.toPandas()
