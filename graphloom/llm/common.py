@@ -47,9 +47,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def mixed_key(doc_id: Column) -> Column:
-    """A fixed scrambling of an id into [0, 2^32) that any SQL engine can repeat; NULL counts as 0."""
-    positive = F.pmod(F.coalesce(doc_id.cast("bigint"), F.lit(0)), F.lit(2147483648))
+def mixed_key(df: DataFrame, name: str) -> Column:
+    """A fixed scrambling of an id into [0, 2^32) that any SQL engine can repeat; NULL counts as 0, and text by its hash."""
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(name).cast("bigint") if whole else F.when(F.col(name).isNotNull(), F.xxhash64(name))
+    positive = F.pmod(F.coalesce(number, F.lit(0)), F.lit(2147483648))
     return (positive * F.lit(2654435761)) % F.lit(4294967296)
 
 

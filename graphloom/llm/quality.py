@@ -6,13 +6,15 @@ of scores, so fitting is logistic regression without intercept on feature differ
 a quantile of the scores of *all* labelled preferred documents are kept.
 
 Only the fit uses a bounded sample: at most ``max_labelled`` labelled documents, the smallest by hash in each
-class, and ``max_pairs`` pairs of them. The threshold counts every labelled document; every document is
-scored on its whole text.
+class, and all pairs of them; the loss, its gradient and its curvature over all pairs come from matrix products over
+blocks, so no pair is held. The threshold counts every labelled document; every document is scored on its whole text,
+however long.
 
 Defined results: a document without words (NULL, empty or blank) has no score and is rejected. A document
 labelled more than once counts by its lowest label; NULL labels are ignored, labels without a document too.
 Without both classes the weights are 0 and every document with words is kept. Ties with the threshold are
-kept. Repeated rows are scored alike. Further columns pass through ``keep_good`` untouched.
+kept. Repeated rows are scored alike. Ids of any type will do. An empty table gives no rows. Further columns pass
+through ``keep_good`` untouched, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import quoted, table, unused
 from graphloom.llm.tokens import Slice, slices
 from graphloom.storage import materialise
 
 MAX_LABELLED = 20_000
-MAX_PAIRS = 200_000
 QUANTILE = 0.0005
 
 #: Classes of bytes whose shares are features; what is in none of them (mostly lower-case letters) is class 0.
@@ -72,8 +73,12 @@ class Ranker:
         return ((x - self.mean) / self.scale) @ self.weights
 
 
-def fit(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = 1e-3, steps: int = 50) -> Ranker:
-    """Newton's method on the mean logistic loss of preferred-minus-other feature differences, with a ridge."""
+def fit(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3, steps: int = 50, block: int = 512) -> Ranker:
+    """Newton's method on the mean logistic loss of preferred-minus-other feature differences, with a ridge.
+
+    With p[i, j] the chance that the model gives to the wrong order of pair (i, j), gradient and curvature are sums over
+    rows and columns of p and p * (1 - p), and products of these with the features.
+    """
     both = np.concatenate([good, bad]).reshape(-1, N_FEATURES)
     if not len(both):
         return Ranker(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES))
@@ -82,16 +87,22 @@ def fit(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: fl
     w = np.zeros(N_FEATURES)
     if not len(good) or not len(bad):
         return Ranker(mean, scale, w)
-    rng = np.random.default_rng(7)
-    n = min(max_pairs, len(good) * len(bad))
-    if n == len(good) * len(bad):
-        i, j = np.repeat(np.arange(len(good)), len(bad)), np.tile(np.arange(len(bad)), len(good))
-    else:
-        i, j = rng.integers(0, len(good), n), rng.integers(0, len(bad), n)
-    x = (good[i] - bad[j]) / scale
+    x, y, n = (good - mean) / scale, (bad - mean) / scale, len(good) * len(bad)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / n + ridge * np.eye(N_FEATURES), x.T @ p / n - ridge * w)
+        sx, sy = np.clip(x @ w, -250, 250), np.clip(y @ w, -250, 250)
+        gradient, curvature, columns, by_column = np.zeros(N_FEATURES), np.zeros((N_FEATURES, N_FEATURES)), np.zeros(len(y)), np.zeros(len(y))
+        for at in range(0, len(x), block):
+            part = x[at : at + block]
+            p = 1 / (1 + np.exp(sx[at : at + block, None] - sy[None, :]))
+            gradient += p.sum(1) @ part
+            columns += p.sum(0)
+            p *= 1 - p
+            mixed = part.T @ (p @ y)
+            curvature += (part * p.sum(1)[:, None]).T @ part - mixed - mixed.T
+            by_column += p.sum(0)
+        gradient -= columns @ y
+        curvature += (y * by_column[:, None]).T @ y
+        step = np.linalg.solve(curvature / n + ridge * np.eye(N_FEATURES), gradient / n - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -154,8 +165,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ranker = train(docs, labels)
     scores = docs.select("doc_id", score_column(ranker, F.col("text")).alias("score"))
     least = threshold(scores, labels, quantile)
-    name = "_quality_score"
-    return docs.withColumn(name, score_column(ranker, F.col("text"))).filter(F.col(name) >= F.lit(float(least))).drop(name)
+    (name,) = unused(docs, "_score")
+    return docs.withColumn(name, score_column(ranker, F.col("text"))).filter(quoted(name) >= F.lit(float(least))).drop(name)
 
 
 def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

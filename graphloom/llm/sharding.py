@@ -5,7 +5,7 @@ small versioned map, so growing or rebalancing the cluster edits at most ``n_slo
 the records of the slots that changed hands.
 
 Defined results: a NULL id hashes as the empty string and so has one fixed slot; NULL and empty text count 0
-bytes; repeated rows share their slot; an empty table gives a map over 0 bytes and no assignments. Columns
+bytes, a very long text all of its bytes; equal ids (repeated rows, ties) share their slot; an empty table gives a map over 0 bytes and no assignments. Columns
 beyond the id and the text are never read, whatever their names.
 """
 

@@ -7,7 +7,7 @@ most specific key with an active entry decides.
 
 Defined results: every capture gives exactly one row, repeated ones too. A URL that is NULL or has no host,
 and a capture without a fetch time, match nothing (verdict ``none``). Entries with a NULL key or date are
-ignored. Of entries of one key on one date the last in order of (action, category) counts. An action
+ignored. URLs of any length are read whole. Of entries of one key on one date the last in order of (action, category) counts. An action
 ``remove`` ends the key's validity. An empty list or capture table gives no matches or no rows. Only the
 named columns are read, so further columns may have any names.
 """
@@ -71,10 +71,12 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def flagged_list(pages: DataFrame) -> DataFrame:
-    """A dated list: each flagged host without its first service label is blocked, lifted and, as some other
-    category, blocked again; and one subdomain of each is allowed for a time."""
+    """A dated list over all hosts of the pages: those with a flagged word, and a third of all others by their MD5 sum,
+    without their first service label, are blocked, lifted and, as some other category, blocked again; and one subdomain
+    of each is allowed for a time. (No table holds a list, so the query has to make one; any other can be given.)"""
     bare = F.regexp_replace(host_of(F.col("url")), r"^(www|m|blog)\.", "")
-    hosts = pages.select(bare.alias("key")).filter(F.col("key").rlike(FLAGGED)).distinct()
+    third = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("bigint") % 3 == 0
+    hosts = pages.select(bare.alias("key")).filter("key <> ''").distinct().filter(F.col("key").rlike(FLAGGED) | third)
     start = (F.length("key") * 37) % 180
     log = hosts.select("key", F.explode(F.array(
         F.struct(F.col("key").alias("k"), start.alias("d"), F.lit("block").alias("a"), F.lit("flagged").alias("c")),
@@ -92,7 +94,7 @@ def op9_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH c AS (SELECT page_id, lower(regexp_extract(url, '{HOST}', 1)) AS host, DATE '2024-01-01' + (((page_id % 366) + 366) % 366)::INT AS day FROM pages),
-h AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\\.', '') AS key FROM c WHERE regexp_matches(regexp_replace(host, '^(www|m|blog)\\.', ''), '{FLAGGED}')),
+h AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\\.', '') AS key FROM c WHERE host <> '' AND (regexp_matches(regexp_replace(host, '^(www|m|blog)\\.', ''), '{FLAGGED}') OR ('0x' || substr(md5(regexp_replace(host, '^(www|m|blog)\\.', '')), 1, 8))::BIGINT % 3 = 0)),
 s AS (SELECT key, (length(key) * 37) % 180 AS d FROM h),
 e AS (SELECT key, d, 'block' AS action, 'flagged' AS category FROM s UNION ALL SELECT key, d + 60, 'remove', 'appeal' FROM s
       UNION ALL SELECT key, d + 120, 'block', 'repeat' FROM s UNION ALL SELECT 'blog.' || key, d + 150, 'allow', 'reviewed' FROM s),

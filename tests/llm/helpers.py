@@ -39,7 +39,7 @@ def awkward(spark, rng_seed: int = 3):
 
 def clashing(df):
     """The same documents with further columns, named like those that operators might use."""
-    names = ["score", "keep", "slot", "shard", "bin_id", "length", "rank", "bucket", "id", "sig", "key", "line", "th", "piece", "position", "epoch", "n", "root", "r", "words", "row", "_near"]
+    names = ["score", "keep", "slot", "shard", "bin_id", "length", "rank", "bucket", "id", "sig", "key", "line", "th", "piece", "position", "epoch", "n", "root", "r", "words", "row", "_near", "_near_id", "_score", "_quality_score", "_line_key", "_key", "_doc", "_th", "_drop", "_left", "_mix_tokens", "_mix_key", "_mix_position"]
     return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
 
 

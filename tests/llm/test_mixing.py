@@ -55,3 +55,24 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(empty(spark)).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id bigint, text string, source string")
     assert mixing.mix(nothing).count() == 0
+
+
+def test_text_ids_and_own_names(spark):
+    docs = spark.createDataFrame([(f"d{k}", "one two three", "a" if k % 3 else None, k) for k in range(60)], "doc_id string, text string, source string, _mix_tokens int")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert {r["_mix_tokens"] for r in out.collect()} <= set(range(60)) and out.count() > 50
+
+
+def test_ranges_of_a_source_follow_its_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "hot" if k % 10 else "cold") for k in range(3000)], "doc_id bigint, text string, source string")
+    whole = sorted(tuple(r) for r in mixing.training_order(docs).collect())
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 37)
+    assert sorted(tuple(r) for r in mixing.training_order(docs).collect()) == whole
+
+
+def test_a_bound_on_epochs_tells_what_it_leaves_open(spark):
+    docs = spark.createDataFrame([(k, "w " * 50, "hot") for k in range(200)] + [(1000, "one word", "cold")], "doc_id bigint, text string, source string")
+    open_ = {r.source: r.unmet for r in mixing.unmet_demand(docs, max_epochs=3).collect()}
+    assert open_["hot"] == 0 and open_["cold"] > 1000
+    assert {r.unmet for r in mixing.unmet_demand(docs).collect()} == {0.0}

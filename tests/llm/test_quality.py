@@ -61,3 +61,49 @@ def test_one_class_or_nothing(spark):
     assert quality.keep_good(empty(spark), nothing).count() == 0
     only_good = spark.createDataFrame([(1, 1, 0)], LABELS)
     assert quality.keep_good(docs, only_good).count() == docs.count() - 3
+
+
+def brute_fit(good, bad, ridge=1e-3):
+    """Newton's method over every pair, one row each."""
+    both = np.concatenate([good, bad])
+    scale = both.std(0)
+    scale[scale < 1e-12] = 1
+    x = ((good[:, None] - bad[None, :]) / scale).reshape(-1, both.shape[1])
+    w = np.zeros(both.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(x @ w, -500, 500)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w)), x.T @ p / len(x) - ridge * w)
+    return both.mean(0), scale, w
+
+
+def test_all_pairs_count():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.4, 1, (37, quality.N_FEATURES)), rng.normal(0, 2, (23, quality.N_FEATURES))
+    found = quality.fit(good, bad, block=8)
+    assert np.allclose(found.weights, brute_fit(good, bad)[2], atol=1e-6)
+
+
+def test_the_query_against_brute_force(spark, data):
+    """Fit, scores, threshold and filter of the registered query, over the whole table, done again with plain loops."""
+    docs, labels = table(spark, data, "documents").toPandas(), table(spark, data, "labels").toPandas()
+    import pyarrow as pa
+
+    from graphloom.llm.tokens import slices
+
+    x = np.concatenate([quality.features(s) for s in slices(pa.array(docs["text"], pa.string()))])
+    at = {i: k for k, i in enumerate(docs["doc_id"])}
+    good = [at[i] for i, q in zip(labels["doc_id"], labels["quality"], strict=True) if q and i in at]
+    bad = [at[i] for i, q in zip(labels["doc_id"], labels["quality"], strict=True) if not q and i in at]
+    mean, scale, w = brute_fit(x[good], x[bad])
+    score = ((x - mean) / scale) @ w
+    least = sorted(score[good])[max(0, int(np.ceil(quality.QUANTILE * len(good))) - 1)]
+    got = {r.doc_id: r.score for r in quality.op1_bradley_terry(spark, data).collect()}
+    sure = {i for i, k in at.items() if score[k] >= least + 1e-6}
+    assert sure <= set(got) <= {i for i, k in at.items() if score[k] >= least - 1e-6}
+    assert all(abs(got[i] - score[at[i]]) < 1e-5 for i in got)
+
+
+def test_own_names(spark):
+    docs = awkward(spark).selectExpr("*", "1 AS _score", "2 AS _quality_score")
+    kept = quality.keep_good(docs, spark.createDataFrame([], LABELS))
+    assert kept.columns == docs.columns and {(r["_score"], r["_quality_score"]) for r in kept.collect()} == {(1, 2)}
