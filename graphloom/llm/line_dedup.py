@@ -16,9 +16,10 @@ on (``EQUAL_WORDS``), while one edit of a short line is often another line: that
    an aggregation and joined back, so groups cost in proportion to their size and none has to meet in one task.
 4. Each pair with a witness is verified by edit distance over the words.
 
-``copies`` leaves documents whole that share most of their words with *one* earlier document by such lines (their share
-of the words of both is at least ``copies``): these are near copies, for near-dedup to judge; cut, they would be
-fragments that nothing recognises. Lines that repeat within such a document still go.
+``spare_copies`` leaves documents whole that are near duplicates, by the signatures of operator 4, of *one* earlier document
+whose lines they repeat: these are for near-dedup to take out; cut, they would be fragments that nothing recognises.
+Only pairs that share ``COPY_SHARE`` of the words of both in such lines and differ at most twofold in length are looked at.
+Lines that repeat within such a document still go.
 
 Defined results: empty and blank lines are left alone. A document that loses all its words goes;
 one that had none (NULL or empty text) stays as it is. Rows with the same id and text are one document and are
@@ -34,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import minhash
 from graphloom.llm.common import quoted, table, unused
 from graphloom.llm.tokens import _POWER, Slice, binary_rows, flat_rows, mix64, slices
 from graphloom.storage import materialise
 
 MIN_WORDS = 8
 EQUAL_WORDS = 1
+COPY_SHARE = 0.05
 MOST_SHARED = 1 << 25
 LEAST_BITS = 27
 
@@ -295,7 +298,7 @@ def _one_edit(a: Column, b: Column) -> Column:
     return near(a, b)
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = EQUAL_WORDS, copies: float | None = None) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = EQUAL_WORDS, spare_copies: bool = False) -> DataFrame:
     """(doc_id, th, line) of the lines to take out; th is the hash of the document's text.
 
     ``equal_words``: from how many words on equal lines go; ``min_words``: those within one edit.
@@ -307,7 +310,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = EQUA
     firsts = materialise(lines.groupBy("h1", "h2").agg(F.min(pos).alias("p"), F.count("*").alias("c")), "first-lines")
     again = lines.select("h1", "h2", "n", pos.alias("y")).join(firsts.filter("c > 1").select("h1", "h2", F.col("p").alias("x")), ["h1", "h2"]).filter(~F.col("y").eqNullSafe(F.col("x"))).select("y", "x", "n")
     found = again.unionByName(_verified(_candidates(rows, firsts, min_words)))
-    if copies is None:
+    if not spare_copies:
         return found.select("y.*").distinct()
     found = materialise(found.groupBy("y").agg(F.min("x").alias("x"), F.max("n").alias("n")), "repeated-lines")
     doc = lambda p, a: F.struct(F.col(f"{p}.doc_id").alias("d"), F.col(f"{p}.th").alias("t")).alias(a)
@@ -316,17 +319,25 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, equal_words: int = EQUA
     shared = found.select(doc("y", "a"), doc("x", "b"), "n").filter("NOT a <=> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
     mine, theirs = sizes.select(F.col("doc").alias("da"), F.col("words").alias("wa")), sizes.select(F.col("doc").alias("db"), F.col("words").alias("wb"))
     both = shared.join(mine, F.col("a").eqNullSafe(F.col("da"))).join(theirs, F.col("b").eqNullSafe(F.col("db")))
-    whole = both.filter(F.col("n") >= F.lit(copies) * (F.col("wa") + F.col("wb") - F.col("n"))).select(F.col("a").alias("copy")).distinct()
+    like = (F.col("n") >= COPY_SHARE * (F.col("wa") + F.col("wb") - F.col("n"))) & (2 * F.least("wa", "wb") >= F.greatest("wa", "wb"))
+    tried = materialise(both.filter(like).select("a", "b"), "copy-pairs")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    text = rows.join(ends, (F.col("doc_id").eqNullSafe(F.col("end.d"))) & (F.col("th") == F.col("end.t")), "left_semi").dropDuplicates(["doc_id", "th"])
+    signed = materialise(text.select(F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t")).alias("doc"), minhash.signature_column(F.col("text")).alias("sig")).filter("sig IS NOT NULL"), "copy-signatures")
+    mine, theirs = (signed.select(F.col("doc").alias(f"d{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    near = tried.join(mine, F.col("a").eqNullSafe(F.col("da"))).join(theirs, F.col("b").eqNullSafe(F.col("db")))
+    far = minhash.distance_column(F.col("sig_a"), F.col("sig_b"))
+    whole = near.select("a", far.alias("far")).filter(F.col("far") <= minhash.MAX_DISTANCE).select(F.col("a").alias("copy")).distinct()
     other = found.withColumn("a", doc("y", "a")).withColumn("b", doc("x", "b"))
     own, foreign = other.filter("a <=> b"), other.filter("NOT a <=> b").join(whole, F.col("a").eqNullSafe(F.col("copy")), "left_anti")
     return own.select("y.*").unionByName(foreign.select("y.*"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None, equal_words: int = EQUAL_WORDS, copies: float | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None, equal_words: int = EQUAL_WORDS, spare_copies: bool = False) -> DataFrame:
     """docs with repeated lines taken out of text (and n_chars brought up to date, if there is such a column);
     ``removed`` names a column for the number of lines taken out."""
     key, doc, th, drop, left = unused(docs, "_key", "_doc", "_th", "_drop", "_left")
-    drops = repeats(docs, min_words, equal_words, copies).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.sort_array(F.collect_list("line")).alias(drop))
+    drops = repeats(docs, min_words, equal_words, spare_copies).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.sort_array(F.collect_list("line")).alias(drop))
     own = docs.withColumn(key, F.xxhash64("text"))
     both = own.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drop, i))

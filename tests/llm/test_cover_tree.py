@@ -50,7 +50,7 @@ def test_pairs_are_exact(spark):
     x = np.concatenate([base, base[rng.integers(0, 30, 60)] + 0.2 * rng.normal(size=(60, 16)), base[:5] * 3])
     rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
-    for cell in (8, 4096):
+    for cell in (24, 4096):
         got = {(r.vec_id_a, r.vec_id_b) for r in c.near_pairs(df, cell=cell).collect()}
         wanted = brute([(k, np.float64(np.float32(v))) for k, v in rows], c.MIN_COSINE)
         assert got == wanted
@@ -85,7 +85,7 @@ def test_a_deep_tree_gives_the_same(spark):
     rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
     wanted = brute([(k, np.float64(np.float32(v))) for k, v in rows], c.MIN_COSINE)
-    assert classes_of(c.near_classes(df, cell=16)) == brute_classes(range(len(rows)), wanted)
+    assert classes_of(c.near_classes(df, cell=40)) == brute_classes(range(len(rows)), wanted)
 
 
 def test_many_equal_vectors_are_one_node(spark):

@@ -93,14 +93,14 @@ def test_variants_meet_if_and_only_if_a_deletion_makes_them_equal():
 
 def test_near_copies_are_left_whole_for_near_dedup(spark):
     lines = [sentence(random.Random(k), 12) for k in range(10)]
-    copy = lines[:8] + [sentence(random.Random(90), 12), sentence(random.Random(91), 12)]
+    copy = [*lines[:9], sentence(random.Random(90), 12)]
     excerpt = [sentence(random.Random(100 + k), 12) for k in range(20)] + lines[:3]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*copy, copy[0]])), (3, "\n".join(excerpt))], "doc_id bigint, text string")
-    got = {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs, copies=0.4).collect()}
+    got = {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs, spare_copies=True).collect()}
     assert got == {1: lines, 2: [*copy, copy[0]], 3: excerpt[:20]}
-    assert {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs).collect()}[2] == copy[8:]
+    assert {r.doc_id: r.text.split("\n") for r in d.without_repeats(docs).collect()}[2] == copy[9:]
     twice = spark.createDataFrame([(5, "a b\na b\nc d")], "doc_id bigint, text string")
-    assert [r.text for r in d.without_repeats(twice, copies=0.1).collect()] == ["a b\nc d"]
+    assert [r.text for r in d.without_repeats(twice, spare_copies=True).collect()] == ["a b\nc d"]
 
 
 def test_text_ids_and_own_names(spark):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from tests.llm.test_minhash import brute_pairs, groups
 from tests.llm.test_quality import brute_fit
 
-from graphloom.llm import line_dedup, mixing, packing, quality
+from graphloom.llm import line_dedup, minhash, mixing, packing, quality
 from graphloom.llm.common import table
 from graphloom.llm.tokens import slices
 
@@ -35,7 +35,7 @@ def one_edit(a, b):
     return a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k:]
 
 
-def brute_lines(docs, copies):
+def brute_lines(docs):
     """docs: (id, text) in order of id. Gives the texts that are left."""
     lines = [(i, k, tuple(line.split())) for i, t in docs for k, line in enumerate(t.split("\n")) if line.split()]
     first, heads, found = {}, defaultdict(list), {}
@@ -58,7 +58,12 @@ def brute_lines(docs, copies):
     for (i, _), (j, n) in found.items():
         if i != j:
             shared[i, j] += n
-    whole = {i for (i, j), n in shared.items() if n >= copies * (size[i] + size[j] - n)}
+    sig = {}
+    for s in slices(pa.array([t for _, t in docs])):
+        has, x = minhash.signatures(s)
+        sig |= {docs[k + s.first][0]: row for k, row in zip(has.tolist(), x, strict=True)}
+    alike = lambda i, j, n: n >= line_dedup.COPY_SHARE * (size[i] + size[j] - n) and 2 * min(size[i], size[j]) >= max(size[i], size[j])
+    whole = {i for (i, j), n in shared.items() if alike(i, j, n) and (sig[i] != sig[j]).sum() <= minhash.MAX_DISTANCE}
     out = {}
     for i, t in docs:
         gone = {k for (d, k), (j, _) in found.items() if d == i and (j == i or i not in whole)}
@@ -94,7 +99,7 @@ def brute_mix(docs):
 def test_the_pipeline_is_what_plain_loops_give(spark, data):
     docs, labels = table(spark, data, "documents").toPandas(), table(spark, data, "labels").toPandas()
     good = brute_quality(docs, labels).sort_values("doc_id")
-    left = brute_lines(list(zip(good["doc_id"], good["text"], strict=True)), corpus_pipeline.COPIES)
+    left = brute_lines(list(zip(good["doc_id"], good["text"], strict=True)))
     kept = good[good["doc_id"].isin(left)].assign(text=lambda d: d["doc_id"].map(left))
     kept = kept[~kept["doc_id"].isin({b for _, b in groups(brute_pairs(kept))})]
     words = {i: len(t.split()) for i, t in zip(kept["doc_id"], kept["text"], strict=True)}
