@@ -18,9 +18,6 @@ from graphloom.llm import line_dedup, minhash, mixing, packing, quality
 from graphloom.llm.common import table
 from graphloom.storage import Rolling
 
-#: Documents that share so much with one earlier document, line by line, are left whole for near-dedup to judge.
-COPIES = 0.4
-
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking of the labels rejects go; those without words have no score and go, too."""
@@ -29,9 +26,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals are taken out, and long ones that it equals but for one word; a document that
-    has no words left goes. Near copies of one earlier document stay whole: the next stage takes them out, which it
+    has no words left goes. Near duplicates of one earlier document stay whole: the next stage takes them out, which it
     could not if all they have in common were gone."""
-    return line_dedup.without_repeats(docs, copies=COPIES)
+    return line_dedup.without_repeats(docs, spare_copies=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
