@@ -41,20 +41,27 @@ def pre_tokens(text: Column) -> Column:
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def _built(vocabulary: bytes):
     import tiktoken
 
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding(hashlib.md5(vocabulary).hexdigest(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoding(path: str):
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(hashlib.md5(path.encode()).hexdigest(), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return _built(f.read())
 
 
-def piece_counter(path: str):
-    """A column function: pieces of one pre-token each. The vocabulary file is read where the task runs."""
+def piece_counter(spark: SparkSession, path: str):
+    """A column function: pieces of one pre-token each. The vocabulary (about 1 MB) is read in the driver and sent along,
+    so the path need not be there where tasks run."""
+    with open(path, "rb") as f:
+        shipped = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("int")
     def pieces(piece: pd.Series) -> pd.Series:
-        bpe = encoding(path)._core_bpe
+        bpe = _built(shipped.value)._core_bpe
         return pd.Series([len(bpe.encode_single_piece(p.encode())) for p in piece], dtype="int32")
 
     return pieces
@@ -78,7 +85,7 @@ def vocabulary(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(piece, n, pieces): each distinct pre-token of the corpus, how often it occurs, and its token count."""
     split = docs.select(pre_tokens(F.col("text")).alias("p"))
     counted = split.mapInArrow(_distinct, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return materialise(counted.select("piece", "n", piece_counter(path)("piece").alias("pieces")), "pre-tokens")
+    return materialise(counted.select("piece", "n", piece_counter(docs.sparkSession, path)("piece").alias("pieces")), "pre-tokens")
 
 
 def _hot_join(shipped):
