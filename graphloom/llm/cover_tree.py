@@ -46,7 +46,7 @@ from graphloom.storage import materialise
 
 MIN_COSINE = 0.95
 #: Vectors of a cell, about; and children of a node, at most.
-CELL = 4096
+CELL = 8192
 FANOUT = 64
 #: Vectors that are routed by one call.
 GROUP = 65_536
