@@ -383,7 +383,7 @@ def op5_cover_tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "embeddings"))
 
 
-def near_vectors_at_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_vectors_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same at a cosine of 0.45, which the vectors of the small tables reach as well."""
     return near_classes(table(spark, sf_dir, "embeddings"), 0.45)
 
@@ -397,4 +397,4 @@ SELECT id AS vec_id, min(other) AS class_id, (SELECT count(*) FROM p WHERE p.a =
 
 
 SQL = _sql(MIN_COSINE)
-SQL_AT_HALF = _sql(0.45)
+SQL_LOOSE = _sql(0.45)

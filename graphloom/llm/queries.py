@@ -10,7 +10,7 @@ QUERIES = {
     "op3_suffix_repetition": repetition.op3_suffix_repetition,
     "op4_multi_index_minhash": minhash.op4_multi_index_minhash,
     "op5_cover_tree_pairs": cover_tree.op5_cover_tree_pairs,
-    "near_vectors_at_half": cover_tree.near_vectors_at_half,
+    "near_vectors_loose": cover_tree.near_vectors_loose,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_time_varying_mix": mixing.op7_time_varying_mix,
     "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -20,7 +20,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_cover_tree_pairs": cover_tree.SQL,
-    "near_vectors_at_half": cover_tree.SQL_AT_HALF,
+    "near_vectors_loose": cover_tree.SQL_LOOSE,
     "op7_time_varying_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_temporal_url_list": url_filters.SQL,
