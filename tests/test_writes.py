@@ -18,16 +18,16 @@ def got(df):
 
 
 def test_create_and_match(fresh):
-    fresh.run("CREATE (a:User {name: 'u1'}), (b:User {name: 'u2'}), (a)-[:FRIEND {since: 2020}]->(b)")
-    assert got(fresh.run("MATCH (u:User) RETURN id(u) AS id, u.name AS name")) == [(0, "u1"), (1, "u2")]
-    assert got(fresh.run("MATCH (a)-[r:FRIEND]->(b) RETURN a.name AS a, b.name AS b, r.since AS s, type(r) AS t")) == [("u1", "u2", 2020, "FRIEND")]
-    fresh.run("MATCH (a:User), (b:User) WHERE a.name = 'u2' AND b.name = 'u1' CREATE (a)-[:FRIEND]->(b)")
-    assert got(fresh.run("MATCH (a)-[r:FRIEND]->(b) RETURN id(r) AS r")) == [(0,), (1,)]
+    fresh.run("CREATE (a:User {name: 'ann'}), (b:User {name: 'bo'}), (a)-[:PAL {since: 2020}]->(b)")
+    assert got(fresh.run("MATCH (u:User) RETURN id(u) AS id, u.name AS name")) == [(0, "ann"), (1, "bo")]
+    assert got(fresh.run("MATCH (a)-[r:PAL]->(b) RETURN a.name AS a, b.name AS b, r.since AS s, type(r) AS t")) == [("ann", "bo", 2020, "PAL")]
+    fresh.run("MATCH (a:User), (b:User) WHERE a.name = 'bo' AND b.name = 'ann' CREATE (a)-[:PAL]->(b)")
+    assert got(fresh.run("MATCH (a)-[r:PAL]->(b) RETURN id(r) AS r")) == [(0,), (1,)]
 
 
 def test_lists_and_maps(fresh):
-    fresh.run("CREATE (n:Doc {tags: ['rust', 'graph'], options: {debug: true, level: 5, mode: 'fast'}, metadata: {scores: [1, 2], active: true}})")
-    assert got(fresh.run("MATCH (n:Doc) RETURN size(n.tags) AS n, n.options.level AS l, n.metadata.scores[1] AS s")) == [(2, 5, 2)]
+    fresh.run("CREATE (n:Doc {words: ['p', 'q'], setup: {loud: false, depth: 5, way: 'short'}, more: {marks: [1, 2], live: false}})")
+    assert got(fresh.run("MATCH (n:Doc) RETURN size(n.words) AS n, n.setup.depth AS l, n.more.marks[1] AS s")) == [(2, 5, 2)]
 
 
 def test_merge(fresh):
