@@ -35,7 +35,7 @@ from graphloom.storage import materialise
 #: natural mix over the square root to all sources alike.
 SCHEDULE = ((0.0, 1.0), (0.6, 0.5), (1.0, 0.0))
 #: Documents of a range, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 
 
 def _share(tokens: Column, power: float) -> Column:
