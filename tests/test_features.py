@@ -130,23 +130,23 @@ def test_many_statements_keep_plans_short(spark):
     assert s.graph.nodes["C"].df._jdf.queryExecution().logical().toString().count("Join") <= 8
 
 
-TEXTS = [(1, "Machine learning with neural networks. Robert runs."), (2, "The network is neural; learning is not. Rupert ran"), (3, "graph databases are about running queries"), (4, None), (5, "")]
+TEXTS = [(1, "Machine learning with spiral networks. Robert runs."), (2, "The network is spiral; learning is not. Rupert ran"), (3, "graph databases are about running queries"), (4, None), (5, "")]
 
 
 def test_stored_index(spark):
     docs = spark.createDataFrame(TEXTS, "id bigint, text string")
     found = lambda index, q: sorted(r.id for r in fulltext.index_search(index, q, None).collect())
     plain = fulltext.build_index(docs)
-    for q in ("neural learning", '"neural networks"', "neural AND network", "+learning -robert", "-neural +graph", "nothing", '"learning is not"', "is"):
+    for q in ("spiral learning", '"spiral networks"', "spiral AND network", "+learning -robert", "-spiral +graph", "nothing", '"learning is not"', "is"):
         a = {r.id: round(r.score, 9) for r in fulltext.search(docs, q, None).collect()}
         assert {r.id: round(r.score, 9) for r in fulltext.index_search(plain, q, None).collect()} == a, q
     english = fulltext.build_index(docs, "english")
     assert found(english, "network") == [1, 2] and found(english, "run") == [1, 3] and found(english, "the") == []
     assert found(fulltext.build_index(docs, None, "soundex"), "Robert") == [1, 2] and found(plain, "Robert") == [1]
     assert found(fulltext.build_index(docs, None, "metaphone"), "kraf") == [3]
-    assert found(plain.delete(spark.range(1, 2)), "neural") == [2]
-    assert [r.id for r in fulltext.index_fuzzy(plain, "nerual", 5, 1).collect()] == [1, 2]
-    assert fulltext.index_fuzzy(plain, "nerual", 5, 0).count() == 0
+    assert found(plain.delete(spark.range(1, 2)), "spiral") == [2]
+    assert [r.id for r in fulltext.index_fuzzy(plain, "sprial", 5, 1).collect()] == [1, 2]
+    assert fulltext.index_fuzzy(plain, "sprial", 5, 0).count() == 0
     with pytest.raises(ValueError):
         fulltext.build_index(docs, None, "no such code")
 
