@@ -6,20 +6,23 @@ connected component over near pairs, named after its smallest id) and the number
 a row of a pair; ``near_pairs`` lists the pairs themselves.
 
 1. Equal vectors are one node with a weight, found by an aggregation with a partial step.
-2. The top of the tree is split over the cluster, level by level: radii halve from 1; in every node that is
-   still too large, centres farther apart than the level's radius are drawn from a bounded sample of it, and
-   each vector goes to its nearest centre, which keeps its covering radius (the distance of its farthest vector).
-   Centres only decide how much is pruned: results are exact for any.
-3. Each node that is small enough is a cell, where the nested levels are built on down to the vectors.
-4. Dual traversal: pairs of nodes descend together from the root, joined on their parents, and a pair is dropped
-   if the distance of its centres exceeds the sum of the covering radii plus the reach. The pairs of cells that
-   are left are traversed alike inside a task, down to blocks of vectors that are compared as a matrix product.
-   Each cell is sent only to the cells within its reach.
+2. The top of the tree is grown from a bounded sample (``DRAWN`` bytes of vectors in all): radii halve from 1; in every
+   node that is still too large, centres farther apart than the level's radius are chosen, and each vector goes to its
+   nearest centre, level by level. Every vector is routed, in one pass and without a shuffle. Centres only decide how
+   much is pruned: results are exact for any.
+3. The vectors at the end of a path are a cell (several, by hash, where they are too many). A cell keeps its mean and its
+   covering radius (the distance of its farthest vector), and the nested levels are built on in it down to the vectors.
+   It is written once, as a file of one row.
+4. Dual traversal: a pair of cells is dropped if the distance of their means exceeds the sum of the covering radii plus
+   the reach. Pairs that are left are traversed together inside a task, level by level, down to blocks of vectors that are
+   compared as a matrix product. A task holds a few cells and reads those that it meets from the shared folder, one at a
+   time: no cell is copied or shuffled for a comparison, however many it meets.
 5. A task gives, for each vector with a partner, the weight of its partners and the smallest id that it is
    joined to there: at most a row a vector. Links are added up; classes are the components of these joins.
+   Tables and shuffle files of a step go as soon as the next one is written.
 
 In high dimension, vectors without structure are all about as far from each other, so that balls overlap and the
-traversal compares all cells, block by block, which is quadratic; equal and clustered vectors are pruned.
+traversal compares all cells, block by block, which is quadratic in time, not in disk; equal and clustered vectors are pruned.
 
 Defined results of ``near_classes``: a row for each distinct (vec_id, embedding), so repeated rows count once, and
 an id with two vectors has two rows, linked if they are near. Vectors that are NULL, empty, of zero length, or hold
@@ -31,25 +34,33 @@ called. ``near_pairs`` gives (smaller id, larger id) once, without pairs of an i
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import local_roots, table
 from graphloom.operators.blocks import as_bytes, matrix
 from graphloom.operators.community import star_roots
-from graphloom.storage import materialise
+from graphloom.storage import materialise, materialise_step, swept
 
 MIN_COSINE = 0.95
 #: Vectors of a cell, about; and children of a node, at most.
 CELL = 8192
 FANOUT = 64
-#: Vectors that are routed by one call.
-GROUP = 65_536
+#: Bytes of vectors that the top of the tree is grown from; bytes and number of the cells that a task holds at most, and
+#: how many others it meets, about; tasks at most.
+DRAWN = 8 << 20
+HELD, HOLD = 64 << 20, 8
+STRIP = 64
+TASKS = 20_000
 LEAF_RADIUS = 0.125
 #: What float32 rounding may add to a distance of unit vectors.
 SLACK = 1e-3
@@ -195,135 +206,161 @@ def _vectors(rows, dim: int) -> np.ndarray:
     return _unit(matrix(rows, dim))
 
 
-def _picker(radius: float):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        x = _vectors(pdf["v"], int(pdf["dim"].iloc[0]))
-        at, _ = separated(x, radius, most=int(pdf["k"].iloc[0]))
-        return pd.DataFrame({"node": pdf["node"].iloc[:1], "centres": [x[at].tobytes()]})
-
-    return pick
-
-
-PLACED = "key string, w bigint, v binary, dim int, node string"
-
-
-def _split(placed: DataFrame, cell: int) -> tuple[DataFrame, DataFrame | None]:
-    """The top of the tree: vectors (key, w, v, dim, node) at the nodes where they end, and the inner nodes
-    (node, parent, centre, radius) above them."""
-    nodes, radius, depth = None, 1.0, 0
-    while radius >= LEAF_RADIUS:
-        sized = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter(F.col("n") > cell)
-        big = materialise(sized.select("node", "n", "least", F.least(F.lit(FANOUT), F.ceil(2 * F.col("n") / cell).cast("int")).alias("k")), "large-nodes")
-        if big.isEmpty():
-            break
-        # about 4 k candidates of a node, whatever its size, and one at least
-        chance = F.pmod(F.xxhash64("key", F.lit(depth)), F.col("n")) < 4 * F.col("k")
-        drawn = placed.join(big, "node").filter(chance | (F.col("key") == F.col("least"))).select("node", "dim", "k", "key", "v")
-
-        centres = materialise(drawn.groupBy("node").applyInPandas(_picker(radius), "node string, centres binary"), "centres")
-        groups = F.ceil(F.col("n") / GROUP).cast("int")
-        moving = placed.join(big.select("node", "n"), "node").withColumn("salt", F.pmod(F.xxhash64("key"), groups).cast("int")).drop("n")
-        known = centres.join(big, "node").select("node", F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"), "centres")
-
-        def route(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows):
-                return pd.DataFrame(columns=["key", "w", "v", "dim", "node", "parent", "far"])
-            dim = int(rows["dim"].iloc[0])
-            x, c = _vectors(rows["v"], dim), np.frombuffer(known["centres"].iloc[0]).reshape(-1, dim)
-            d = _squared(x, c)
-            at = d.argmin(axis=1)
-            return rows[["key", "w", "v", "dim"]].assign(node=[f"{n}.{k}" for n, k in zip(rows["node"], at.tolist(), strict=True)], parent=rows["node"], far=np.sqrt(d[np.arange(len(x)), at]))
-
-        routed = moving.groupBy("node", "salt").cogroup(known.groupBy("node", "salt")).applyInPandas(route, f"{PLACED}, parent string, far double")
-        routed = materialise(routed, "routed-vectors")
-        grown = routed.groupBy("node", "parent", "dim").agg(F.max("far").alias("radius")).join(centres.withColumnRenamed("node", "parent"), "parent")
-        own = F.expr("substring(centres, cast(element_at(split(node, '[.]'), -1) AS int) * dim * 8 + 1, dim * 8)")
-        level = materialise(grown.select("node", "parent", own.alias("centre"), "radius"), "inner-nodes")
-        nodes = level if nodes is None else nodes.unionByName(level)
-        columns = ["key", "w", "v", "dim", "node"]
-        placed = placed.join(big.select("node"), "node", "left_anti").select(*columns).unionByName(routed.select(*columns))
-        radius, depth = radius / 2, depth + 1
-    return placed, nodes
-
-
-def _apart(a: Column, b: Column) -> Column:
-    @F.arrow_udf("double")
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([float(np.linalg.norm(np.frombuffer(p) - np.frombuffer(q))) for p, q in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-    return distance(a, b)
-
-
-def _met(cells: DataFrame, inner: DataFrame | None, reach: float) -> DataFrame:
-    """The pairs of cells (l, r), l <= r, that the descent from the root does not rule out."""
-    leaves = cells.select("node", "parent", "centre", "radius", F.lit(True).alias("leaf"))
-    kids = leaves.unionByName(leaves.withColumn("parent", F.col("node")))
-    if inner is not None:
-        kids = kids.unionByName(inner.withColumn("leaf", F.lit(False)))
-    a, b = (kids.select(*[F.col(c).alias(f"{side}_{c}") for c in kids.columns]) for side in "ab")
-    front = cells.select(F.substring_index("parent", ".", 1).alias("l")).distinct().select("l", F.col("l").alias("r"))
-    while True:
-        both = front.join(a, F.col("l") == F.col("a_parent")).join(b, F.col("r") == F.col("b_parent"))
-        both = both.filter((F.col("l") != F.col("r")) | (F.col("a_node") <= F.col("b_node")))
-        near = (F.col("a_node") == F.col("b_node")) | (_apart(F.col("a_centre"), F.col("b_centre")) <= F.col("a_radius") + F.col("b_radius") + F.lit(reach + SLACK))
-        pair = F.when(F.col("a_node") <= F.col("b_node"), F.struct(F.col("a_node").alias("l"), F.col("b_node").alias("r"))).otherwise(F.struct(F.col("b_node").alias("l"), F.col("a_node").alias("r")))
-        front = materialise(both.filter(near).select(pair.alias("p"), (F.col("a_leaf") & F.col("b_leaf")).alias("done")).select("p.*", "done"), "node-pairs")
-        if front.filter("NOT done").isEmpty():
-            return front.drop("done")
-        front = front.drop("done")
-
-
-def _blocks(nodes: DataFrame, min_cosine: float, cell: int) -> DataFrame:
-    """(pair, side, dim, keys, w, x, tree): both cells of every pair that is left to compare, or the one of a pair
-    of a cell with itself, each pair in a partition."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    packed = as_bytes(nodes.select("key", "w", "v", F.size("v").alias("dim"), F.concat(F.lit("d"), F.size("v")).alias("node")))
-    placed, inner = _split(materialise(packed, "vectors"), cell)
-    crowd = placed.groupBy("node").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-    placed = placed.join(crowd, "node").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+def _grown(x: np.ndarray, weight: float, cell: int, radius: float = 1.0):
+    """The top of the tree over x, of which each row stands for ``weight`` vectors: (centres, what is below each), or None for a cell."""
+    if len(x) * weight <= cell or radius < LEAF_RADIUS:
+        return None
+    at, owner = separated(x, radius, most=min(FANOUT, math.ceil(2 * len(x) * weight / cell)))
+    if len(at) == 1:
+        return _grown(x, weight, cell, radius / 2)
+    return x[at], [_grown(x[owner == k], weight, cell, radius / 2) for k in range(len(at))]
+
+
+def _numbered(top, count):
+    """The same with a number for each cell, along the tree."""
+    return next(count) if top is None else (top[0], [_numbered(below, count) for below in top[1]])
+
+
+def _routed(x: np.ndarray, top) -> np.ndarray:
+    """The number of the cell of each row of x."""
+    out, todo = np.zeros(len(x), np.int64), [(np.arange(len(x)), top)]
+    while todo:
+        rows, top = todo.pop()
+        if isinstance(top, int):
+            out[rows] = top
+            continue
+        at = _squared(x[rows], top[0]).argmin(axis=1)
+        todo += [(rows[at == k], top[1][k]) for k in np.unique(at).tolist()]
+    return out
+
+
+def _tops(vectors: DataFrame, cell: int) -> dict:
+    """The top of the tree of each dimension that has more than a cell of vectors."""
+    large = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).filter(F.col("n") > cell).collect()}
+    share = DRAWN / max(1, sum(4 * d * n for d, n in large.items()))
+    wanted = {d: max(2.0, min(16.0 * n / cell, share * n)) for d, n in large.items()}
+    tops = {}
+    for d, n in large.items():
+        # by hash, so that the same vectors are drawn again
+        drawn = vectors.filter((F.col("dim") == d) & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n)) < F.lit(math.ceil(wanted[d]))))
+        pdf = drawn.select("key", "v").toPandas().sort_values("key")
+        if len(pdf):
+            tops[d] = _numbered(_grown(_vectors(pdf["v"], d), n / len(pdf), cell), itertools.count())
+    return tops
+
+
+def _cells(nodes: DataFrame, cell: int) -> DataFrame:
+    """(name, dim, centre, radius, keys, w, x, tree): the vectors by cells, to be written a row a file."""
+    packed = as_bytes(nodes.select("key", "w", "v", F.size("v").alias("dim")))
+    vectors = materialise(packed, "vectors")
+    tops = _tops(vectors, cell)
+
+    def route(batches):
+        for batch in batches:
+            dim, node = batch.column("dim").to_numpy(), np.zeros(len(batch), np.int64)
+            for d in np.unique(dim).tolist():
+                if d in tops:
+                    rows = np.flatnonzero(dim == d)
+                    node[rows] = _routed(_vectors(batch.column("v").take(pa.array(rows)).to_pylist(), d), tops[d])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], names=[*batch.schema.names, "node"])
+
+    routed = vectors.mapInArrow(route, "key string, w bigint, v binary, dim int, node bigint")
+    crowd = routed.groupBy("dim", "node").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+    placed = routed.join(F.broadcast(crowd), ["dim", "node"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        x = _vectors(pdf["v"], int(pdf["dim"].iloc[0]))
-        centre = x.mean(axis=0)
-        name, tree = f"{pdf['node'].iloc[0]}/{pdf['part'].iloc[0]}", build_levels(x.astype(np.float32))
-        return pd.DataFrame({"node": [name], "parent": [pdf["node"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "centre": [centre.tobytes()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))], "keys": [pdf["key"].tolist()],
+        dim, node, part = (int(pdf[c].iloc[0]) for c in ("dim", "node", "part"))
+        x = _vectors(pdf["v"], dim)
+        centre, kind = x.mean(axis=0), np.uint16 if len(x) <= 1 << 16 else np.int64
+        tree = [(level["centre"].astype(kind), level["parent"].astype(kind), np.nextafter(level["radius"].astype(np.float32), np.float32(np.inf))) for level in build_levels(x.astype(np.float32))]
+        return pd.DataFrame({"name": [f"{node:012}/{part:06}"], "dim": [dim], "centre": [centre.tobytes()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))], "keys": ["\n".join(pdf["key"])],
                              "w": [pdf["w"].to_numpy(np.int64).tobytes()], "x": [b"".join(pdf["v"])], "tree": [pickle.dumps(tree)]})
 
-    cells = materialise(placed.groupBy("node", "part").applyInPandas(cover, "node string, parent string, dim int, centre binary, radius double, keys array<string>, w binary, x binary, tree binary"), "cells")
-    pairs = _met(cells, inner, reach).withColumn("pair", F.concat("l", F.lit("|"), "r"))
-    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("l").alias("node")).unionByName(pairs.filter("l <> r").select("pair", F.lit(1).alias("side"), F.col("r").alias("node")))
-    copies = sides.join(cells.select("node", "dim", "keys", "w", "x", "tree"), "node").drop("node")
-    return copies.repartition(max(1, min(pairs.count(), 100_000)), "pair")
+    return placed.groupBy("dim", "node", "part").applyInPandas(cover, "name string, dim int, centre binary, radius double, keys string, w binary, x binary, tree binary")
+
 
+def _read(uri: str) -> list[dict]:
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with files.open_input_file(path) as f:
+        return pq.ParquetFile(f).read().to_pylist()
 
-def _open(r: pd.Series) -> tuple:
-    """Vectors, keys, weights and levels of a cell."""
+
+def _open(uri: str) -> tuple:
+    """Vectors, keys, weights, levels and single-precision vectors of a cell."""
+    (r,) = _read(uri)
     w = np.frombuffer(r["w"], np.int64)
     kind = np.float32 if len(r["x"]) == 4 * r["dim"] * len(w) else np.float64
-    return _unit(np.frombuffer(r["x"], kind).reshape(len(w), -1).astype(np.float64)), np.array(list(r["keys"]), object), w, pickle.loads(r["tree"])
+    x = _unit(np.frombuffer(r["x"], kind).reshape(len(w), -1).astype(np.float64))
+    tree = [{"centre": centre.astype(np.int64), "parent": parent.astype(np.int64), "radius": radius} for centre, parent, radius in pickle.loads(r["tree"])]
+    return x, np.array(r["keys"].split("\n"), object), w, tree, x.astype(np.float32)
 
 
-def _compared(pdf: pd.DataFrame, min_cosine: float):
-    """The two sides of a block pair, whether they are one, and a generator of (i, j) with a cosine of at least min_cosine."""
-    pdf = pdf.sort_values("side")
-    a, same = _open(pdf.iloc[0]), len(pdf) == 1
-    b = a if same else _open(pdf.iloc[1])
+def _hits(a: tuple, b: tuple, min_cosine: float):
+    """Yields (i, j), vectors of the cells a and b with a cosine of at least min_cosine, each pair once if they are one."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     sure = 1e-5 + 2e-7 * a[0].shape[1]
-
-    def hits():
-        for i, j, about in dual_traversal(a[0].astype(np.float32), b[0].astype(np.float32), a[3], b[3], reach, same):
-            keep = about >= min_cosine + sure
-            close = np.flatnonzero(~keep & (about >= min_cosine - sure))
-            for at in range(0, len(close), 65_536):
-                part = close[at : at + 65_536]
-                keep[part] = np.einsum("ij,ij->i", a[0][i[part]], b[0][j[part]]) >= min_cosine
-            if keep.any():
-                yield i[keep], j[keep]
-
-    return a, b, same, hits()
+    for i, j, about in dual_traversal(a[4], b[4], a[3], b[3], reach, a is b):
+        keep = about >= min_cosine + sure
+        close = np.flatnonzero(~keep & (about >= min_cosine - sure))
+        for at in range(0, len(close), 65_536):
+            part = close[at : at + 65_536]
+            keep[part] = np.einsum("ij,ij->i", a[0][i[part]], b[0][j[part]]) >= min_cosine
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def _meetings(task: int, heads: list[dict], size: int, strips: int, reach: float) -> dict[int, list[int]]:
+    """The cells that a task reads, each with those of its own group that are within reach of it; over all tasks, every
+    pair of cells that the covering radii don't rule out comes once.
+
+    A group meets itself and the half of the others that follows it, in a circle, so that all have the same to do."""
+    groups = math.ceil(len(heads) / size)
+    g, strip = divmod(task, strips)
+    mine = range(g * size, min((g + 1) * size, len(heads)))
+    met: dict[int, list[int]] = {}
+    ahead = [d for d in range(strip + 1, groups // 2 + 1, strips) if 2 * d < groups or g < groups // 2]
+    others = np.array([j for d in ahead for j in range((g + d) % groups * size, min(((g + d) % groups + 1) * size, len(heads)))] + (list(mine) if strip == 0 else []), np.int64)
+    dims = np.array([heads[j]["dim"] for j in others])
+    for i in mine:
+        js = others[(dims == heads[i]["dim"]) & ((others < mine.start) | (others >= mine.stop) | (others > i))] if len(others) else others
+        if len(js):
+            d = np.sqrt(_squared(np.frombuffer(heads[i]["centre"])[None, :], np.array([np.frombuffer(heads[j]["centre"]) for j in js])))[0]
+            for j in js[d <= heads[i]["radius"] + np.array([heads[j]["radius"] for j in js]) + reach + SLACK].tolist():
+                met.setdefault(j, []).append(i)
+        if strip == 0:
+            met.setdefault(i, []).append(i)
+    return met
+
+
+def _over_cells(nodes: DataFrame, min_cosine: float, cell: int, each, schema: str) -> DataFrame:
+    """What ``each`` gives for the cells a and b and the (i, j) of their near vectors, for every pair of cells within reach."""
+    spark, reach = nodes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
+    cells = materialise_step(lambda: _cells(nodes, cell), "cells", rows_a_file=1)
+    listed = materialise(cells.select("name", "dim", "centre", "radius", F.col("_metadata.file_path").alias("file")).repartition(1).sortWithinPartitions("dim", "name"), "cell-heads")
+    n, widest = listed.agg(F.count("*"), F.max("dim")).first()
+    where = [r[0] for r in listed.select("_metadata.file_path").distinct().collect()]
+    size = max(1, min(HOLD, HELD // (12 * cell * (widest or 1)), n // 128))
+    groups = math.ceil(n / size)
+    strips = max(1, math.ceil(groups * size / 2 / STRIP))
+
+    def compare(batches):
+        heads = None
+        for batch in batches:
+            for task in batch["id"].tolist():
+                heads = heads or [r for uri in where for r in _read(uri)]
+                held: dict[int, tuple] = {}
+                for j, near in sorted(_meetings(task, heads, size, strips, reach).items()):
+                    for i in near:
+                        if i not in held:
+                            held[i] = _open(heads[i]["file"])
+                    b = held[j] if j in held else _open(heads[j]["file"])
+                    for i in near:
+                        found = each(held[i], b, _hits(held[i], b, min_cosine))
+                        if len(found):
+                            yield found
+
+    return spark.range(0, groups * strips, 1, max(1, min(groups * strips, TASKS))).mapInPandas(compare, schema)
 
 
 def _nodes(own: DataFrame) -> DataFrame:
@@ -333,13 +370,18 @@ def _nodes(own: DataFrame) -> DataFrame:
 
 def near_classes(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: int = CELL) -> DataFrame:
     """(vec_id, class_id, links) of every distinct item."""
+    with swept(embeddings.sparkSession):
+        return _near_classes(embeddings, min_cosine, cell)
+
+
+def _near_classes(embeddings: DataFrame, min_cosine: float, cell: int) -> DataFrame:
     own = _items(embeddings)
     members = materialise(own.select("id", F.when(F.col("fine"), F.col("key")).otherwise(F.concat(F.lit("-"), "key", F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key"), "fine").distinct(), "items")
     weights = members.filter("fine").groupBy("key").agg(F.count("*").alias("w"))
     nodes = own.filter("fine").groupBy("key").agg(F.any_value("v").alias("v")).join(weights, "key")
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same, hits = _compared(pdf, min_cosine)
+    def links(a: tuple, b: tuple, hits) -> pd.DataFrame:
+        same = a is b
         n, m = len(a[1]), 0 if same else len(b[1])
         label, got = np.arange(n + m), np.zeros(n + m, np.int64)
         shift = 0 if same else n
@@ -351,7 +393,7 @@ def near_classes(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: in
         some = np.flatnonzero(got)
         return pd.DataFrame({"key": keys[some], "links": got[some], "root": keys[label[some]]})
 
-    found = materialise(_blocks(nodes, min_cosine, cell).groupBy("pair").applyInPandas(links, "key string, links bigint, root string"), "links")
+    found = materialise_step(lambda: _over_cells(nodes, min_cosine, cell, links, "key string, links bigint, root string"), "links")
     counts = found.groupBy("key").agg(F.sum("links").alias("near"))
     roots = star_roots(found.filter("key <> root").select(F.col("key").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("id", "key")
     each = members.join(weights, "key", "left").join(counts, "key", "left").join(roots, "key", "left")
@@ -365,12 +407,11 @@ def near_pairs(embeddings: DataFrame, min_cosine: float = MIN_COSINE, cell: int
     own = _items(embeddings).filter("fine")
     members = materialise(own.select("id", "key").distinct(), "items")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, _, hits = _compared(pdf, min_cosine)
+    def pairs(a: tuple, b: tuple, hits) -> pd.DataFrame:
         parts = [pd.DataFrame({"k": a[1][i], "l": b[1][j], "cosine": np.einsum("ij,ij->i", a[0][i], b[0][j])}) for i, j in hits]
         return pd.concat(parts) if parts else pd.DataFrame(columns=["k", "l", "cosine"])
 
-    found = _blocks(_nodes(own), min_cosine, cell).groupBy("pair").applyInPandas(pairs, "k string, l string, cosine double")
+    found = _over_cells(_nodes(own), min_cosine, cell, pairs, "k string, l string, cosine double")
     alike = members.select(F.col("key").alias("k"), F.col("key").alias("l"), F.lit(1.0).alias("cosine")).distinct()
     left, right = members.select(F.col("id").alias("p"), F.col("key").alias("k")), members.select(F.col("id").alias("q"), F.col("key").alias("l"))
     listed = found.unionByName(alike).join(left, "k").join(right, "l").filter((F.col("p") < F.col("q")) | ((F.col("k") != F.col("l")) & (F.col("p") > F.col("q"))))

@@ -112,3 +112,31 @@ def test_awkward_vectors(spark):
     items = sorted(((r.vec_id, r.class_id, r.links) for r in c.near_classes(df).collect()), key=str)
     assert items == sorted([(1, 1, 3), (2, 1, 3), (3, 1, 3), (12, 1, 3), (12, 12, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (None, None, 0), (10, 10, 1), (11, 10, 1)], key=str)
     assert c.near_classes(df.limit(0)).count() == 0
+
+
+def shuffled(spark, since=-1):
+    """(bytes, last stage): what the stages after ``since`` have written for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    each = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(k) for k in range(stages.size()))]
+    return sum(b for k, b in each if k > since), max((k for k, _ in each), default=-1)
+
+
+def test_cells_are_not_copied_to_be_compared(spark):
+    """Vectors without structure, so that each cell meets each other one."""
+    x = np.random.default_rng(6).normal(size=(1200, 64)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+    _, last = shuffled(spark)
+    kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert {links for _, links in classes_of(c.near_classes(df, cell=40)).values()} == {0}
+    assert shuffled(spark, last)[0] < 10 * x.nbytes
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
+
+
+def test_each_pair_of_cells_meets_once():
+    for n, size, strips in [(1, 1, 1), (2, 1, 1), (7, 1, 2), (8, 2, 1), (9, 2, 3), (23, 4, 2), (24, 4, 2), (5, 8, 1)]:
+        heads = [{"dim": 1 + (k >= n - 2), "centre": np.zeros(1 + (k >= n - 2)).tobytes(), "radius": 0.0} for k in range(n)]
+        tasks = [c._meetings(t, heads, size, strips, 1.0) for t in range(-(-n // size) * strips)]
+        got = [tuple(sorted((i, j))) for met in tasks for j, near in met.items() for i in near]
+        assert sorted(got) == [(i, j) for i in range(n) for j in range(i, n) if heads[i]["dim"] == heads[j]["dim"]]
