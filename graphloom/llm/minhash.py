@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import local_roots, quoted, table, unused
 from graphloom.llm.tokens import Slice, binary_rows, flat_rows, mix64, slices
 from graphloom.operators.community import star_roots
-from graphloom.storage import materialise
+from graphloom.storage import materialise, shuffled
 
 POSITIONS = 80
 CHUNKS = 16
@@ -125,7 +125,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    return sigs.select(F.explode(key_column(F.col("sig"))).alias("key"), "id")
+    """(key, id): 80 rows for each signature, which Spark takes for one, so they must not be broadcast."""
+    return shuffled(sigs.select(F.explode(key_column(F.col("sig"))).alias("key"), "id"))
 
 
 def within(pairs: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
@@ -181,7 +182,7 @@ def _late_edges(mixed: DataFrame, limit: int) -> DataFrame:
     """(a, b) that connect whatever is within the limit in a bucket; mixed has g, n, id, root and sig."""
     few = mixed.filter(F.col("n") <= SMALL)
     mine, other = few.select("g", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a")), few.select("g", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
-    pairs = mine.join(other, "g").filter("a < b AND root_a <> root_b").select("a", "b", distance_column(F.col("sig_a"), F.col("sig_b")).alias("d"))
+    pairs = shuffled(mine).join(other, "g").filter("a < b AND root_a <> root_b").select("a", "b", distance_column(F.col("sig_a"), F.col("sig_b")).alias("d"))
     kind = dict(mixed.dtypes)["id"]
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:

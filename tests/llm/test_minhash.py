@@ -146,3 +146,11 @@ def test_empty(spark):
     assert minhash.near_links(empty(spark)).count() == 0
     assert minhash.hamming_pairs(empty(spark)).count() == 0
     assert minhash.keep_one(empty(spark)).count() == 0
+
+
+def test_keys_are_not_broadcast_however_small_spark_takes_them_to_be(spark):
+    # 80 keys a signature: the estimate of the exploded table is a fraction of the file's size
+    sigs = minhash.signed(spark.createDataFrame([(k, f"some words of a document {k}") for k in range(50)], "doc_id bigint, text string"))
+    keys = minhash.postings(sigs)
+    shared = keys.groupBy("key").agg({"id": "min"})
+    assert "BroadcastHashJoin" not in keys.join(shared, "key")._jdf.queryExecution().executedPlan().toString()
