@@ -67,3 +67,16 @@ def test_moves_go_on_until_no_node_gains(spark, data):
     for x, own in at.items():
         gain = lambda c, x=x, own=own: near[x][c] - degree[x] * (heavy[c] - (degree[x] if c == own else 0)) / total
         assert all(gain(c) <= gain(own) + 1e-8 for c in near[x])
+
+
+def test_no_round_goes_through_the_driver(spark):
+    # rounds are many, so that what each broadcasts adds up, however little it is
+    at = spark.createDataFrame([(k, k % 3, 2.0) for k in range(9)], "id bigint, community bigint, k double")
+    edges = spark.createDataFrame([(k, (k + j) % 9, 1.0) for k in range(9) for j in (1, -1)], "src bigint, dst bigint, w double")
+    plans = []
+    keep, community.materialise = community.materialise, lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label)
+    try:
+        community._looked(edges, at, 18.0)
+    finally:
+        community.materialise = keep
+    assert plans and not any("BroadcastExchange" in p for p in plans)
