@@ -1,6 +1,7 @@
 """Search over cells against the exact neighbours of every row."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.operators import vector
 from graphloom.plans import workload
@@ -28,3 +29,18 @@ def test_cells_are_left_out_only_if_they_hold_no_neighbour(spark):
     model, filed = vector.ivf(df, 6)
     key = lambda d: {(r.query, r.id, None if r.similarity is None else round(r.similarity, 9)) for r in d.collect()}
     assert key(vector.ivf_join(model, filed, 5)) == key(vector.knn_join(df, df, 5))
+
+
+def test_equal_vectors_go_by_their_ids_and_no_pair_is_a_row(spark, monkeypatch):
+    # units of few vectors, so that copies of a vector stand in several
+    monkeypatch.setattr(vector, "UNIT", 64)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(10, 16)).astype(np.float32)
+    rows = [(k, [float(x) for x in base[k * 7 % 10]]) for k in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    model, filed = vector.ivf(df, 3)
+    found = vector.ivf_join(model, filed, 5, F.expr("id % 50 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    got = {(r.query, r.id) for r in found.collect()}
+    assert got == {(q, i) for q in range(0, 600, 50) for i in [k for k in range(600) if k * 7 % 10 == q * 7 % 10 and k != q][:5]}
