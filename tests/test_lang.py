@@ -130,3 +130,22 @@ def test_validate(spark):
     edges = spark.createDataFrame([(7, 0, 9, 0), (8, 9, 1, 0)], "eid bigint, src bigint, dst bigint, port int")
     g = Graph(spark, {"A": NodeFrame(nodes)}, {"T": EdgeFrame(edges, "A", "A")})
     assert sorted((r.problem, r.id) for r in g.validate().collect()) == [("no dst", 7), ("no src", 8), ("repeated id", 1)]
+
+
+@pytest.mark.parametrize("query", [
+    "MATCH (a:A)-[:X]->(m:M) MATCH (b:B)-[:Y]->(m) RETURN m.k AS k, count(*) AS n",
+    "MATCH (a:A)-[:X]->(m:M), (b:B)-[:Y]->(m) RETURN m.k AS k, count(b) AS n",
+    "MATCH (a:A)-[:X]->(m:M)<-[:Y]-(b:B) RETURN m.k AS k, count(*) AS n",
+    "MATCH (a:A)-[:X]->(m:M) MATCH (b:B)-[:Y]->(m) WHERE NOT EXISTS { (m)<-[:Z]-(:A) } RETURN m.k AS k, count(*) AS n",
+    "MATCH (a:A)-[:X]->(m:M) MATCH (b:B)-[:Y]->(m) MATCH (c:A)-[:Z]->(m) RETURN m.k AS k, count(*) AS n",
+])
+def test_rows_that_meet_at_one_node_are_counted_before_they_are_joined(spark, query):
+    nodes = lambda n, off: NodeFrame(spark.range(n).selectExpr(f"id + {off} AS id", "id AS k"))
+    edges = lambda a, n, off: EdgeFrame(spark.range(n).selectExpr("id AS eid", f"id + {off} AS src", "id % 3 + 100 AS dst", "0 AS port"), a, "M")
+    g = Graph(spark, {"A": nodes(20, 0), "B": nodes(30, 1000), "M": nodes(3, 100)}, {"X": edges("A", 20, 0), "Y": edges("B", 30, 1000), "Z": edges("A", 2, 0)})
+    x, z = {0: 7, 1: 7, 2: 6}, {0: 1, 1: 1}
+    df = Session(g).run(query)
+    wanted = {2: 60} if "NOT EXISTS" in query else {k: x[k] * 10 * z[k] for k in z} if ":Z" in query else {k: n * 10 for k, n in x.items()}
+    assert dict(got(df)) == wanted
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > 1
+    assert got(Session(g).run(query.replace("m.k AS k, ", "").replace(" RETURN", " WHERE m.k > 5 RETURN") if "WHERE" not in query else "MATCH (a:A)-[:X]->(m:M) MATCH (b:B)-[:Y]->(m) WHERE m.k > 5 RETURN count(*) AS n")) == [(0,)]
